@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernquery.llm import simhash
+from fernquery.llm import mixing, simhash
 from fernquery.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2, segments=2)
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op4_simhash": op4_simhash}
 ORACLES: dict[str, str] = {}
