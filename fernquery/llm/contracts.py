@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm import decontaminate, mixing, simhash
+from fernquery.llm import decontaminate, mixing, quality_rules, simhash
 from fernquery.llm.common import table
 
 
@@ -22,5 +22,51 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash}
-ORACLES: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op9_quality_rules": op9_quality_rules}
+
+_OP1_SQL = r"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (SELECT DISTINCT item, w[s:s + 9] AS terms FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM item WHERE len(w) > 0)),
+doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+len AS (SELECT DISTINCT len(terms) AS n FROM win),
+part AS (SELECT doc_id, s, n, w[s:s + n - 1] AS terms FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc, len WHERE len(w) >= n)),
+found AS (SELECT doc_id, s, n, item FROM part JOIN win USING (terms)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+_OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, w[i:i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM tri) WHERE n >= 2),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+line AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM line WHERE regexp_matches(raw, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+norm AS (SELECT doc_id, source, text, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l FROM line),
+limits AS (SELECT source, greatest(10.0, 0.02 * count(DISTINCT text)) AS most FROM d GROUP BY source),
+often AS (SELECT source, l FROM norm JOIN limits USING (source) WHERE l <> '' GROUP BY source, l, most HAVING count(DISTINCT text) > most),
+lost AS (SELECT doc_id, CAST(sum(length(l) - length(replace(l, ' ', '')) + 1) AS BIGINT) AS n FROM norm JOIN often USING (source, l) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS common_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words - common_words < 0.3 * n_words) AS kept, common_words
+FROM b
+"""
+
+ORACLES = {"op1_decontaminate": _OP1_SQL, "op9_quality_rules": _OP9_SQL}
