@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm import decontaminate, mixing, quality_rules, simhash
+from fernquery.llm import decontaminate, mixing, quality_rules, simhash, url_rules
 from fernquery.llm.common import table
 
 
@@ -22,12 +22,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+#: The listed rules (verdict, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), rules=URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
 
 _OP1_SQL = r"""
 WITH item AS (
