@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm import decontaminate, mixing, quality_rules, simhash, url_rules
+from fernquery.llm import decontaminate, mixing, quality_rules, simhash, url_rules, warc
 from fernquery.llm.common import table
 
 
@@ -22,6 +22,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    number = lambda c: F.expr(f"try_cast({c} as bigint)")
+    return warc.read_archives(archives.repartition(spark.sparkContext.defaultParallelism)).select(number("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
 #: The listed rules (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -36,7 +42,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
 
 _OP1_SQL = r"""
 WITH item AS (
@@ -78,4 +84,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES = {"op1_decontaminate": _OP1_SQL, "op9_quality_rules": _OP9_SQL}
+_OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+bits AS (SELECT page_id, octet_length(b) AS n, first, h FROM p JOIN f USING (h)),
+b32 AS (
+  SELECT page_id, n, first, h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + v, 1), '' ORDER BY i) AS digest
+  FROM (
+    SELECT page_id, n, first, h, i, CAST((CAST(concat('0x', substr(h, 1 + 10 * (i // 8), 10)) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) AS v
+    FROM bits, range(32) r(i))
+  GROUP BY page_id, n, first, h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b32
+"""
+
+ORACLES = {"op5_warc": _OP5_SQL, "op1_decontaminate": _OP1_SQL, "op9_quality_rules": _OP9_SQL}
