@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm import decontaminate, mixing, quality_rules, simhash, url_rules, warc
-from fernquery.llm.common import table
+from fernquery.llm import chat, decontaminate, mixing, quality_rules, simhash, url_rules, warc
+from fernquery.llm.common import stored, table
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives.repartition(spark.sparkContext.defaultParallelism)).select(number("page").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    found = chat.read_back(stored(chat.format_chats(turns.unionByName(extra)), "chats"))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 #: The listed rules (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -42,7 +50,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
 
 _OP1_SQL = r"""
 WITH item AS (
@@ -99,4 +107,25 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM b32
 """
 
-ORACLES = {"op5_warc": _OP5_SQL, "op1_decontaminate": _OP1_SQL, "op9_quality_rules": _OP9_SQL}
+_OP6_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT *, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS last,
+    length(text) + length(text) - length(replace(text, chr(92), '')) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 ELSE 9 END
+    + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
+    + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7
+    + (length(text) - length(replace(text, '[SYS]', ''))) // 5 + (length(text) - length(replace(text, '[/SYS]', ''))) // 6
+    + (length(text) - length(replace(text, '[ROLE]', ''))) // 6 + (length(text) - length(replace(text, '[/ROLE]', ''))) // 7
+    + (length(text) - length(replace(text, '[/TURN]', ''))) // 7 AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before <> 'user' WHEN 'assistant' THEN before = 'user' ELSE false END)
+    AND bool_or(last AND role = 'assistant') AS valid
+FROM c GROUP BY conv_id
+"""
+
+ORACLES = {"op6_chat": _OP6_SQL, "op5_warc": _OP5_SQL, "op1_decontaminate": _OP1_SQL, "op9_quality_rules": _OP9_SQL}
