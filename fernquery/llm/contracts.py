@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm import chat, decontaminate, mixing, quality_rules, simhash, url_rules, warc
-from fernquery.llm.common import stored, table
+from fernquery.llm import chat, decontaminate, mixing, quality_rules, simhash, toxicity, url_rules, warc
+from fernquery.llm.common import crc_mod, stored, table
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    scored = docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score_all(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, max_repeats=3).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -50,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
 
 _OP1_SQL = r"""
 WITH item AS (
