@@ -3,7 +3,7 @@
 A text's features are which character n-grams it holds, hashed into a table. A feature's
 log-count ratio says how much more often toxic texts hold it than others; a logistic
 regression is fitted on the features times their ratios, so that n-grams that tell
-nothing weigh nothing.
+nothing weigh nothing. The two classes weigh the same, whatever their shares.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from fernquery.llm.learn import labelled_sample, minimise, sigmoid
 
 #: n-gram lengths, bits of the feature table, labelled texts of each class to learn from (at most),
 #: texts that must hold a feature, smoothing of the counts, and weight of the penalty.
-ORDERS, BITS, MAX_ROWS, MIN_TEXTS, SMOOTH, PENALTY = (3, 4, 5), 20, 3000, 5, 1.0, 0.02
+ORDERS, BITS, MAX_ROWS, MIN_TEXTS, SMOOTH, PENALTY = (3, 4, 5, 6), 20, 3000, 4, 1.0, 0.3
 
 
 @dataclass
@@ -64,6 +64,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     sets = [s[s >= 0] for s in (place[s] for s in sets)]
     r, lengths = ratio[known], np.array([len(s) for s in sets])
     flat, ends = (np.concatenate(sets) if len(known) else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(lengths)])
+    share = np.where(labels > 0, len(labels) / (2 * positive), len(labels) / (2 * (len(labels) - positive)))  # both classes weigh the same
     blocks = [(a, min(a + 256, len(sets))) for a in range(0, len(sets), 256)]
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -72,8 +73,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         for a, z in blocks:
             part, own = flat[ends[a] : ends[z]], np.repeat(np.arange(z - a), lengths[a:z])
             margin = np.bincount(own, weights=w[part], minlength=z - a) + b
-            total += float(np.logaddexp(0, np.where(labels[a:z] > 0, -margin, margin)).sum())
-            error = sigmoid(margin) - labels[a:z]
+            total += float(share[a:z] @ np.logaddexp(0, np.where(labels[a:z] > 0, -margin, margin)))
+            error = share[a:z] * (sigmoid(margin) - labels[a:z])
             grad[:-1] += np.bincount(part, weights=error[own], minlength=len(known))
             grad[-1] += error.sum()
         grad[:-1] = grad[:-1] * r + PENALTY * x[:-1] * len(labels) / 100
