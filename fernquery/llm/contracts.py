@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm import chat, decontaminate, mixing, quality_rules, simhash, toxicity, url_rules, warc
+from fernquery.llm import chat, decontaminate, mixing, quality_model, quality_rules, simhash, toxicity, url_rules, warc
 from fernquery.llm.common import crc_mod, stored, table
 
 
@@ -57,7 +57,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.learn(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 4) != 2)
+    scored = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), quality_model.score_all(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules, "op10_quality_model": op10_quality_model}
 
 _OP1_SQL = r"""
 WITH item AS (
