@@ -98,7 +98,27 @@ def near_pairs(prints: DataFrame, max_bits: int = 2, segments: int = 2) -> DataF
     return found.filter(F.col("k") == first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, segments: int = 2) -> DataFrame:
+def _similar(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, grams: int) -> DataFrame:
+    """The pairs whose representatives' texts have a Jaccard similarity of ``least`` or more over ``shingle``-word shingles."""
+
+    @F.arrow_udf("array<bigint>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.cast(pa.binary()).to_pylist():
+            words = t.lower().split() if t else []
+            grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+            out.append(np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    pairs = stored(pairs, "candidate_pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(groups, "fp").select("fp", "low")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(met, F.col("_id") == F.col("low"))
+    sets = stored(rows.withColumn("s", shingles("_text")).filter(fingerprint(F.col("_text"), grams) == F.col("fp")).groupBy("fp").agg(F.min("s").alias("s")), "shingle_sets")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
     """One row per document: ``(id, fingerprint, component_id)``.
 
     Texts are compared whole, A-Z lower-cased, by the SimHash of their
@@ -107,25 +127,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint 0 and are linked by it like any other.
     Repeated rows stay repeated. A null id never becomes a component_id unless the
-    component has no other. Columns besides the two named are not looked at.
+    component has no other. With ``similarity``, links between different fingerprints
+    also need that Jaccard similarity over ``check_words``-word shingles. Columns besides the two named are not looked at.
     """
-    prints = stored(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "prints")
+    found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words)
+    return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, segments: int, similarity: float | None, check_words: int) -> DataFrame:
+    """``(_id, part, fp, root, component_id)`` of every row; part tells apart texts that share an id."""
+    prints = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("part"), fingerprint(F.col(text_col), shingle).alias("fp")), "prints")
     groups = stored(prints.groupBy("fp").agg(F.min("_id").alias("low")), "print_groups")
-    roots = components(near_pairs(groups.select("fp"), max_bits, segments).toDF("u", "v"))
+    pairs = near_pairs(groups.select("fp"), max_bits, segments)
+    if similarity is not None:
+        pairs = _similar(pairs, groups, docs, id_col, text_col, check_words, similarity, shingle)
+    roots = components(pairs.toDF("u", "v"))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lows, "root").select("fp", "component_id")
-    out = prints.join(classes, "fp")
-    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(rooted.join(lows, "root").select("fp", "root", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, segments: int = 2) -> DataFrame:
-    """The documents with one of each near-duplicate component kept, whole rows.
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
+    """The documents with one of each near-duplicate component kept, whole rows; parameters as in ``near_duplicates``.
 
-    The row with the component's smallest id stays; of rows that repeat that id, one.
+    The row with the component's smallest id stays (null is larger than any); of rows
+    that repeat its id and text, one.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits, segments=segments)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep"), F.col("fingerprint").alias("_fp")).distinct()
-    names = docs.columns
-    rows = docs.join(keep.groupBy("_keep").agg(F.min("_fp").alias("_fp")), docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
-    return rows.dropDuplicates([id_col]).select(*names)
+    found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words).select("root", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "part").alias("row"))
+    found = stored(found, "classes")
+    first = found.groupBy("root").agg(F.min("row").alias("first"))
+    gone = found.join(first, "root").filter("row <> first").select(F.col("row.id").alias("g_id"), F.col("row.part").alias("g_part")).distinct()
+    part = F.xxhash64(docs[text_col], docs[text_col].isNull())
+    left = docs.join(gone, docs[id_col].eqNullSafe(F.col("g_id")) & (part == F.col("g_part")), "left_anti")
+    return left.dropDuplicates([id_col, text_col])
