@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm import chat, decontaminate, mixing, quality_model, quality_rules, simhash, toxicity, url_rules, warc
+from fernquery.llm import chat, decontaminate, mixing, ngram_lm, quality_model, quality_rules, simhash, toxicity, url_rules, warc
 from fernquery.llm.common import crc_mod, stored, table
 
 
@@ -52,6 +52,14 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model = ngram_lm.train(docs.filter(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), ngram_lm.score_all(docs, model).alias("s"))
+    return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "common_words")
@@ -64,7 +72,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_url_rules": op7_url_rules, "op9_quality_rules": op9_quality_rules, "op10_quality_model": op10_quality_model}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_chat": op6_chat, "op7_url_rules": op7_url_rules, "op8_ngram_lm": op8_ngram_lm, "op9_quality_rules": op9_quality_rules, "op10_quality_model": op10_quality_model}
 
 _OP1_SQL = r"""
 WITH item AS (
