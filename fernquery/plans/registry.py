@@ -25,7 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register queries."""
+    from fernquery.plans import retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
