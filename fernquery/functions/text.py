@@ -62,23 +62,22 @@ def clean(x: Column, entities: bool = False) -> Column:
     return drop_controls(unescape_html(x) if entities else x)
 
 
-def _quoted(x: Column) -> Column:
-    both = lambda q: F.startswith(x, F.lit(q)) & F.endswith(x, F.lit(q))
-    return (F.length(x) >= 2) & (both('"') | both("'"))
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once per row and named once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _peel(x: Column) -> Column:
-    return F.when(_quoted(x), strip(x.substr(F.lit(2), F.length(x) - 2))).otherwise(x)
+    """Without one layer of quotes around it."""
+    return F.regexp_replace(x, r"""(?s)^(?:"(.*)"|'(.*)')\z""", "$1$2")
 
 
 def normalise_field(x: Column, entities: bool = False) -> Column:
     """Clean, peel up to two layers of quotes, then one dangling quote at either end."""
-    once = _peel(strip(clean(x, entities)))
-    # A second layer is peeled only if there was a first; a text without one is left as it is.
-    y = F.when(_quoted(strip(clean(x, entities))), _peel(once)).otherwise(once)
-    tail = F.when(F.endswith(y, F.lit('"')) & ~F.startswith(y, F.lit('"')), F.rtrim(F.regexp_replace(y, r'"\z', ""))).when(F.endswith(y, F.lit("'")) & ~F.startswith(y, F.lit("'")), F.rtrim(F.regexp_replace(y, r"'\z", ""))).otherwise(y)
-    head = F.when(F.startswith(tail, F.lit('"')) & ~F.endswith(tail, F.lit('"')), F.ltrim(F.regexp_replace(tail, r'^"', ""))).when(F.startswith(tail, F.lit("'")) & ~F.endswith(tail, F.lit("'")), F.ltrim(F.regexp_replace(tail, r"^'", ""))).otherwise(tail)
-    return clean(head, entities)
+    two = let(_peel(strip(clean(x, entities))), lambda y: _peel(strip(y)))
+    tail = let(strip(two), lambda y: F.regexp_replace(y, r"""(?s)^(?:([^"].*)"|([^'].*)'|["'])\z""", "$1$2"))
+    head = let(strip(tail), lambda y: F.regexp_replace(y, r"""(?s)^(?:"(.*[^"])|'(.*[^']))\z""", "$1$2"))
+    return clean(head, False)
 
 
 def split_markers(x: Column, markers: list[str]) -> Column:
