@@ -17,8 +17,8 @@ UNION ALL SELECT concat('struct-n', cast(n_nationkey as string)), 0, n_name, 'Na
 UNION ALL SELECT concat('struct-r', cast(r_regionkey as string)), 0, r_name, 'Region', 'A region', 2 FROM {region}
 """
 _RELATIONS = """
-SELECT concat('chunk-l', cast(l_orderkey as string)) AS source_id, l_linenumber AS ord, s_name AS src, concat('Part ', cast(l_partkey as string)) AS dst, l_quantity AS weight, concat('supplies under ', l_returnflag) AS description, 0 AS level
-FROM {lineitem} l JOIN {supplier} s ON l_suppkey = s_suppkey
+SELECT concat('chunk-l', cast(l_orderkey as string)) AS source_id, l_linenumber AS ord, s_name AS src, concat('Part ', cast(l_partkey as string)) AS dst, sum(l_quantity) AS weight, concat('supplies under ', max(l_returnflag)) AS description, 0 AS level
+FROM {lineitem} l JOIN {supplier} s ON l_suppkey = s_suppkey GROUP BY l_orderkey, l_linenumber, s_name, l_partkey
 UNION ALL SELECT concat('chunk-c', cast(c_custkey as string)), 0, n_name, c_name, 1.0, 'is home of', 0 FROM {customer} c JOIN {nation} n ON c_nationkey = n_nationkey
 UNION ALL SELECT concat('chunk-s', cast(s_suppkey as string)), 0, s_name, n_name, 2.0, 'is based in', 0 FROM {supplier} s JOIN {nation} n ON s_nationkey = n_nationkey
 UNION ALL SELECT concat('struct-n', cast(n_nationkey as string)), 0, n_name, r_name, 1.0, 'lies in', 0 FROM {nation} n JOIN {region} r ON n_regionkey = r_regionkey
