@@ -167,4 +167,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     """The documents without any occurrence of a test phrase, whole rows, repeated rows included."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, length=length).filter("n_hit > 0").select(F.col(id_col).alias("b_id"), F.col("part").alias("b_part")).distinct()
     part = F.xxhash64(docs[text_col], docs[text_col].isNull())
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("b_id")) & (part == F.col("b_part")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["b_id"]) & (part == bad["b_part"]), "left_anti")

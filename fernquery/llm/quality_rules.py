@@ -130,4 +130,4 @@ def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """The documents that the rules keep, whole rows, repeated rows included."""
     part = F.xxhash64(docs[text_col], docs[text_col].isNull(), docs[host_col], docs[host_col].isNull())
     bad = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col).filter("not kept").select(F.col(id_col).alias("b_id"), F.col("part").alias("b_part")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("b_id")) & (part == F.col("b_part")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["b_id"]) & (part == bad["b_part"]), "left_anti")

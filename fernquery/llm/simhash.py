@@ -158,5 +158,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = found.groupBy("root").agg(F.min("row").alias("first"))
     gone = found.join(first, "root").filter("row <> first").select(F.col("row.id").alias("g_id"), F.col("row.part").alias("g_part")).distinct()
     part = F.xxhash64(docs[text_col], docs[text_col].isNull())
-    left = docs.join(gone, docs[id_col].eqNullSafe(F.col("g_id")) & (part == F.col("g_part")), "left_anti")
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone["g_id"]) & (part == gone["g_part"]), "left_anti")
     return left.dropDuplicates([id_col, text_col])

@@ -86,7 +86,11 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
 
 def score_all(docs: DataFrame, model: Model, text_col: str = "text"):
-    """Column: probability that a whole text is toxic; null and empty texts score by the bias alone."""
+    """Column: probability that a whole text is toxic.
+
+    Null and empty texts hold one space and nothing else; they score by the bias alone.
+    Equal texts score equally, whatever the rows' other columns are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
