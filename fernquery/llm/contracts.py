@@ -53,11 +53,9 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod(F.col("doc_id"), 7) == 2
-    model = ngram_lm.train(docs.filter(~held_out))
-    scored = docs.select("doc_id", held_out.alias("held_out"), ngram_lm.score_all(docs, model).alias("s"))
-    return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "s.base_score", "s.score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
+    model, scored = ngram_lm.train_and_score(docs, ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

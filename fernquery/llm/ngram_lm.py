@@ -41,6 +41,8 @@ MIN_COUNT, DISCOUNT = 2, 0.75
 SHARD, FLOOR = 1 << 21, -9.0
 #: Fixed value: the hash of the end of a text.
 END = np.uint64(1)
+#: Codes of tokens that are in no n-gram that is kept.
+RARE, UNKNOWN = -1, -2
 _SIGN = np.uint64(1 << 63)
 #: Distinct n-grams that a task gathers before it hands them on.
 _HELD = 1 << 21
@@ -214,56 +216,86 @@ class Model:
         count[found >= 0] = self.level1.count(found[found >= 0])
         return found[back], count[back]
 
-    def bigrams(self, word: np.ndarray, count: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Place of the bigram that ends at each token, or -1."""
-        out = np.full(len(word), -1, np.int64)
-        at = 1 + np.flatnonzero((owner[1:] == owner[:-1]) & (count[1:] >= MIN_COUNT) & (count[:-1] >= MIN_COUNT))
-        out[at] = self.level2.find(word[at - 1], word[at])
-        return out
+    @property
+    def kind(self) -> str:
+        """How encoded tokens are stored."""
+        return "<i4" if self.words < 1 << 31 else "<i8"
+
+    def log_word(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 1) / (self.tokens + self.words + 1))
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, known tokens, add-one log10 probability, log10 probability of the model."""
+    def encode(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: its tokens' codes, how many tokens, how many are known, and the add-one log10 probability.
+
+        The code of a word is its id, or RARE if it occurs too seldom to be in an n-gram
+        that is kept, or UNKNOWN.
+        """
         h, owner = text_tokens(texts)
         word, count = self.ids(h)
-        base = np.log10((count + 1) / (self.tokens + self.words + 1))
-        two = self.bigrams(word, count, owner)
-        log = base.copy()
-        follows = np.flatnonzero((owner[1:] == owner[:-1]) & (word[:-1] >= 0)) + 1
-        seen, unseen = follows[two[follows] >= 0], follows[two[follows] < 0]
-        log[seen] = self.level2.log_p(two[seen])
-        log[unseen] += self.level2.log_backoff(word[unseen - 1])
-        third = np.flatnonzero((owner[1:] == owner[:-1]) & (two[:-1] >= 0)) + 1
-        place = np.full(len(third), -1, np.int64)
-        able = np.flatnonzero(two[third] >= 0)
-        at = third[able]
-        place[able] = self.level3.find(two[at - 1], two[at] - self.level2.begin(word[at - 1]))
-        log[third[place >= 0]] = self.level3.log_p(place[place >= 0])
-        back = third[place < 0]
-        log[back] += self.level3.log_backoff(two[back - 1])
-        n = len(texts)
-        sums = lambda x: np.bincount(owner, weights=x, minlength=n)
-        return np.bincount(owner, minlength=n), sums(count > 0).astype(np.int64), sums(base), sums(log)
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
-    yield from tokens.chunks([t or b"" for t in batch[0].to_pylist()])
-
-
-def _gather(docs: DataFrame, grams, schema: str) -> DataFrame:
-    """Distinct n-grams that ``grams(texts)`` yields as two columns, with their counts, added up in the tasks and then over all."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+        codes = np.where(count >= MIN_COUNT, word, np.where(count > 0, RARE, UNKNOWN)).astype(self.kind)
+        n = np.bincount(owner, minlength=len(texts))
+        known = np.bincount(owner, weights=count > 0, minlength=len(texts)).astype(np.int64)
+        base = np.bincount(owner, weights=self.log_word(count), minlength=len(texts))
+        return [x.tobytes() for x in np.split(codes, np.cumsum(n)[:-1])] if len(texts) else [], n, known, base
+
+    def decode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, number of the text) of all tokens of encoded texts."""
+        codes = np.frombuffer(b"".join(texts), self.kind).astype(np.int64)
+        n = np.fromiter((len(t) for t in texts), np.int64, len(texts)) // np.dtype(self.kind).itemsize
+        return codes, np.repeat(np.arange(len(texts)), n)
+
+    def bigrams(self, code: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Place of the bigram that ends at each token, or -1."""
+        out = np.full(len(code), -1, np.int64)
+        at = 1 + np.flatnonzero((owner[1:] == owner[:-1]) & (code[1:] >= 0) & (code[:-1] >= 0))
+        out[at] = self.level2.find(code[at - 1], code[at])
+        return out
+
+    def gains(self, texts: list[bytes]) -> np.ndarray:
+        """Per encoded text: log10 probability of the model less that of add-one."""
+        code, owner = self.decode(texts)
+        two = self.bigrams(code, owner)
+        gain = np.zeros(len(code))
+        seen = np.flatnonzero(two >= 0)
+        own, back = np.unique(code[seen], return_inverse=True)
+        base = self.log_word(self.level1.count(own))[back]
+        told = self.level2.log_p(two[seen])
+        unseen = 1 + np.flatnonzero((owner[1:] == owner[:-1]) & (code[:-1] >= 0) & (two[1:] < 0))
+        gain[unseen] = self.level2.log_backoff(code[unseen - 1])
+        able = np.flatnonzero(two[seen - 1] >= 0)  # a bigram ends at the token before; it is of the same text
+        at = seen[able]
+        place = self.level3.find(two[at - 1], two[at] - self.level2.begin(code[at - 1]))
+        told[able] += np.where(place >= 0, 0, self.level3.log_backoff(two[at - 1]))
+        told[able[place >= 0]] = self.level3.log_p(place[place >= 0])
+        gain[seen] = told - base
+        lone = 1 + np.flatnonzero((two[:-1] >= 0) & (owner[1:] == owner[:-1]) & (two[1:] < 0))
+        gain[lone] += self.level3.log_backoff(two[lone - 1])
+        return np.bincount(owner, weights=gain, minlength=len(texts))
+
+
+def _gather(docs: DataFrame, grams, packed: bool) -> DataFrame:
+    """``(a, b, c)``: distinct pairs of numbers that ``grams(texts)`` yields, with their counts, added up in the tasks and then over all.
+
+    Pairs of numbers below 2**31 travel as one number.
+    """
+    arrow = pa.schema([("k", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 
     def combined(held: list[tuple[np.ndarray, np.ndarray]]):
         a, b = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))], schema=arrow)
+        if packed:
+            k, c = np.unique(a << 32 | b, return_counts=True)
+            b = np.zeros(len(k), np.int64)
+        else:
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            k, b, c = a[first], b[first], np.diff(np.append(first, len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(c)], schema=arrow)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for texts in _texts(batch):
+            for texts in tokens.chunks([t or b"" for t in batch[0].to_pylist()]):
                 held.append(grams(texts))
                 size += len(held[-1][0])
                 if size >= _HELD:
@@ -272,7 +304,11 @@ def _gather(docs: DataFrame, grams, schema: str) -> DataFrame:
         if held:
             yield combined(held)
 
-    return docs.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    parts = docs.mapInArrow(run, "k long, b long, c long")
+    if not packed:
+        return parts.groupBy(F.col("k").alias("a"), "b").agg(F.sum("c").alias("c"))
+    sums = parts.groupBy("k").agg(F.sum("c").alias("c"))
+    return sums.select(F.shiftright("k", 32).alias("a"), F.col("k").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("b"), "c")
 
 
 def _build(rows: DataFrame, model: Model, number: int, total: int) -> list[Shard]:
@@ -328,50 +364,111 @@ def _build(rows: DataFrame, model: Model, number: int, total: int) -> list[Shard
     return [Shard(r["first"] + (1 << 63) if number == 1 else r["first"], r["contexts"], r["offset"], r["entries"]) for r in sorted(made, key=lambda r: r["offset"])]
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """A model of all texts of ``docs``; null texts are empty. Without texts every token is unknown."""
-    texts = docs.select(F.col(text_col).cast("binary"))
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Model:
+    """A model of level 1 from all texts of ``docs``; null texts are empty. Without texts every token is unknown."""
     model = Model(fresh_path(docs.sparkSession, "lm"), 0, 0, {1: [], 2: [], 3: []})
-    _fs(model.folder)[0].create_dir(_fs(model.folder)[1], recursive=True)
+    store, base = _fs(model.folder)
+    store.create_dir(base, recursive=True)
 
     def words(part):
         h, _ = text_tokens(part)
-        return h.view(np.int64), np.zeros(len(h), np.int64)
+        k, c = np.unique(h.view(np.int64), return_counts=True)
+        return k, c
+
+    arrow = pa.schema([("a", pa.int64()), ("c", pa.int64())])
+
+    def run(batches):
+        held, size = [], 0
+
+        def combined():
+            k, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            c = np.bincount(back, weights=np.concatenate([x[1] for x in held]), minlength=len(k)).astype(np.int64)
+            return k, c
+
+        for batch in batches:
+            for texts in tokens.chunks([t or b"" for t in batch[0].to_pylist()]):
+                held.append(words(texts))
+                size += len(held[-1][0])
+                if size >= _HELD:
+                    held = [combined()]
+                    size = len(held[0][0])
+                    if size >= _HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], schema=arrow)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in combined()], schema=arrow)
+
+    counts = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "a long, c long").groupBy("a").agg(F.sum("c").alias("c"))
+    rows = stored(counts.select("a", F.lit(0).cast("long").alias("b"), "c"), "grams1")
+    total, sums = rows.agg(F.count(F.lit(1)), F.sum("c")).first()
+    model.words, model.tokens = total, sums or 0
+    shards = {**model.shards, 1: _build(rows, model, 1, total) if total else []}
+    drop_stored(rows)
+    return Model(model.folder, model.tokens, model.words, shards)
+
+
+def encoded(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """Struct column ``(codes, n_tokens, n_known, base_score)`` of whole texts; a null or empty text has the end alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<codes:binary,n_tokens:bigint,n_known:bigint,base_score:double>")
+    def run(texts: pa.Array) -> pa.Array:
+        codes, rest = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for part in tokens.chunks([t or b"" for t in texts.to_pylist()]):
+            own, *numbers = shared.value.encode(part)
+            codes += own
+            rest.append(numbers)
+        n, known, base = (np.concatenate(x) for x in zip(*rest))
+        return pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64())], ["codes", "n_tokens", "n_known", "base_score"])
+
+    return run(F.col(text_col).cast("binary"))
+
+
+def train(texts: DataFrame, model: Model, codes_col: str = "codes") -> Model:
+    """Levels 2 and 3 from encoded texts, those that level 1 was made from."""
 
     def pairs(part):
-        h, owner = text_tokens(part)
-        word, count = model.ids(h)
-        at = np.flatnonzero((owner[1:] == owner[:-1]) & (count[1:] >= MIN_COUNT) & (count[:-1] >= MIN_COUNT))
-        return word[at], word[at + 1]
+        code, owner = model.decode(part)
+        at = np.flatnonzero((owner[1:] == owner[:-1]) & (code[1:] >= 0) & (code[:-1] >= 0))
+        return code[at], code[at + 1]
 
     def triples(part):
-        h, owner = text_tokens(part)
-        word, count = model.ids(h)
-        two = model.bigrams(word, count, owner)
-        at = np.flatnonzero((two[1:] >= 0) & (two[:-1] >= 0))
+        code, owner = model.decode(part)
+        two = model.bigrams(code, owner)
+        at = np.flatnonzero((two[1:] >= 0) & (two[:-1] >= 0))  # both are of the same text: a text's first token ends no bigram
         return two[at], two[at + 1]
 
-    for number, grams in ((1, words), (2, pairs), (3, triples)):
-        rows = _gather(texts, grams, "a long, b long, c long")
-        rows = stored(rows if number == 1 else rows.filter(F.col("c") >= MIN_COUNT), f"grams{number}")
-        total, sums = rows.agg(F.count(F.lit(1)), F.sum("c")).first()
-        if number == 1:
-            model.words, model.tokens = total, sums or 0
-        shards = {**model.shards, number: _build(rows, model, number, total) if total else []}
+    below = model.words
+    for number, grams in ((2, pairs), (3, triples)):
+        rows = stored(_gather(texts.select(codes_col), grams, below < 1 << 31).filter(F.col("c") >= MIN_COUNT), f"grams{number}")
+        below = rows.count()
+        shards = {**model.shards, number: _build(rows, model, number, below) if below else []}
         drop_stored(rows)
         model = Model(model.folder, model.tokens, model.words, shards)
     return model
 
 
-def score_all(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """Struct column ``(n_tokens, n_known, base_score, score)`` of whole texts; a null or empty text has the end alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(texts: DataFrame, model: Model, codes_col: str = "codes", base_col: str = "base_score") -> Column:
+    """Column: log10 probability of whole encoded texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>")
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [shared.value.score(p) for p in tokens.chunks([t or b"" for t in texts.to_pylist()])]
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_tokens", "n_known", "base_score", "score"])
+    @F.arrow_udf("double")
+    def run(codes: pa.Array) -> pa.Array:
+        parts = [shared.value.gains(p) for p in tokens.chunks(codes.to_pylist())]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    return run(F.col(text_col).cast("binary"))
+    return F.col(base_col) + run(F.col(codes_col))
+
+
+def train_and_score(docs: DataFrame, train_on: Column, *, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """A model of the rows for which ``train_on`` holds, and all rows with ``n_tokens, n_known, base_score, score`` in place of the text.
+
+    A null text has the end as its only token; repeated rows count as often as they are
+    there. Input columns that have the name of a new one are left out.
+    """
+    marked = docs.withColumn("_train", train_on)
+    model = vocabulary(marked.filter("_train"), text_col)
+    rest = [c for c in docs.columns if c not in (text_col, "_train", "_e", "codes", "n_tokens", "n_known", "base_score", "score")]
+    texts = stored(marked.select(*rest, "_train", encoded(marked, model, text_col).alias("_e")).select(*rest, "_train", "_e.*"), "encoded")
+    model = train(texts.filter("_train"), model)
+    return model, texts.withColumn("score", score(texts, model)).drop("codes", "_train")
