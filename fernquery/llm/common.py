@@ -1,15 +1,12 @@
-"""Shared helpers: table access, scratch tables, connected components."""
+"""Shared helpers: table access, intermediate tables, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernquery.sources.scratch import fresh_path
+
 #: The characters that separate words in most contracts, as a Java class.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,29 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir).
-
-    Where the session names none, as in local tests, a temporary folder is set
-    and removed when the process ends; on a cluster that is refused.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="fernquery-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there."""
     spark = df.sparkSession
