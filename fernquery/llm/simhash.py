@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from fernquery.llm.common import components, stored
 
 _CHUNK = 1 << 15
+#: Fingerprints in candidate pairs up to which they are broadcast.
+MAX_COMPARED = 500_000
 
 
 def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -67,11 +69,16 @@ def _ball(width: int, radius: int) -> list[tuple[int, int]]:
     return [(sum(1 << b for b in bits), 1 << max(bits) if bits else 0) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def near_pairs(prints: DataFrame, max_bits: int = 2, segments: int = 2) -> DataFrame:
+def near_pairs(prints: DataFrame, max_bits: int = 2, segments: int = 2, leaders: bool = False) -> DataFrame:
     """All pairs ``(a, b)``, once each, of distinct fingerprints ``fp`` within ``max_bits`` bits.
 
-    ``prints`` must hold each ``fp`` once. Equal fingerprints are not a pair.
+    ``prints`` must hold each ``fp`` once. Equal fingerprints are not a pair. Where
+    ``prints`` has a column ``root``, pairs of equal roots are left out. With ``leaders``,
+    only pairs with the smallest fingerprint of a table entry are found, no more of them
+    than there are probes.
     """
+    rooted = "root" in prints.columns
+    prints = prints.select("fp", *(["root"] if rooted else [F.lit(None).cast("long").alias("root")]))
     radius = max_bits // segments
     cut = _segments(segments)
 
@@ -82,15 +89,23 @@ def near_pairs(prints: DataFrame, max_bits: int = 2, segments: int = 2) -> DataF
     def key(v: Column, k: int) -> Column:
         return v.bitwiseOR(F.lit(k << 56).cast("long"))
 
-    stored_side = prints.select(F.col("fp").alias("b"), F.explode(F.array(*(key(value(F.col("fp"), k), k) for k in range(segments)))).alias("key"))
+    stored_side = prints.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(F.array(*(key(value(F.col("fp"), k), k) for k in range(segments)))).alias("key"))
     probes = None
     for k in range(segments):
         ball = F.explode(F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(t).cast("long").alias("t")) for m, t in _ball(cut[k][1], radius))))
         v = value(F.col("a"), k)
-        part = prints.select(F.col("fp").alias("a"), ball.alias("c")).filter(v.bitwiseAND(F.col("c.t")) == 0)
-        part = part.select("a", F.lit(k).alias("k"), (F.col("c.m") == 0).alias("same"), key(v.bitwiseXOR(F.col("c.m")), k).alias("key"))
+        part = prints.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), ball.alias("c")).filter(v.bitwiseAND(F.col("c.t")) == 0)
+        part = part.select("a", "root_a", F.lit(k).alias("k"), (F.col("c.m") == 0).alias("same"), key(v.bitwiseXOR(F.col("c.m")), k).alias("key"))
         probes = part if probes is None else probes.unionByName(part)
-    found = probes.join(stored_side, "key").filter((~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+    if leaders:
+        first = stored_side.groupBy("key").agg(F.min("b").alias("b"))
+        led = probes.join(first, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+        return led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if rooted:
+        probes = probes.join(stored_side, (probes["key"] == stored_side["key"]) & (F.col("root_a") != F.col("root_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).drop(stored_side["key"])
+    else:
+        probes = probes.join(stored_side, "key")
+    found = probes.filter((~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     first = F.lit(None)
     for k in reversed(range(segments)):
         near = F.bit_count(value(F.col("a"), k).bitwiseXOR(value(F.col("b"), k))) <= radius
@@ -98,7 +113,7 @@ def near_pairs(prints: DataFrame, max_bits: int = 2, segments: int = 2) -> DataF
     return found.filter(F.col("k") == first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _similar(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, grams: int) -> DataFrame:
+def _similar(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
     """The pairs whose representatives' texts have a Jaccard similarity of ``least`` or more over ``shingle``-word shingles."""
 
     @F.arrow_udf("array<bigint>")
@@ -111,9 +126,13 @@ def _similar(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str,
         return pa.array(out, pa.list_(pa.int64()))
 
     pairs = stored(pairs, "candidate_pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(groups, "fp").select("fp", "low")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(met, F.col("_id") == F.col("low"))
-    sets = stored(rows.withColumn("s", shingles("_text")).filter(fingerprint(F.col("_text"), grams) == F.col("fp")).groupBy("fp").agg(F.min("s").alias("s")), "shingle_sets")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(groups, "fp").select("fp", F.col("low").alias("m_id"), F.col("low_part").alias("m_part"))
+    met = stored(met, "compared")
+    if met.count() <= MAX_COMPARED:
+        met = F.broadcast(met)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("_part"), F.col(text_col).alias("_text"))
+    rows = rows.join(met, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_part") == F.col("m_part")))
+    sets = stored(rows.select("fp", shingles("_text").alias("s")).groupBy("fp").agg(F.min("s").alias("s")), "shingle_sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return both.filter(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
@@ -134,14 +153,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _links(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_bits: int, segments: int, similarity: float | None, check_words: int) -> DataFrame:
+    """Links that join the same components as all pairs within ``max_bits`` bits would.
+
+    Up to two bits, a fingerprint has so few neighbours that all pairs are taken. Beyond,
+    a group of near copies would give pairs by the square of its size: fingerprints
+    are first linked to the leaders of their table entries, and then only the pairs between
+    components that are still apart are looked for. No link between components is lost.
+    """
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return pairs if similarity is None else _similar(pairs, groups, docs, id_col, text_col, check_words, similarity)
+
+    if max_bits <= 2:
+        return checked(near_pairs(groups.select("fp"), max_bits, segments))
+    led = stored(checked(near_pairs(groups.select("fp"), max_bits, segments, leaders=True)), "led")
+    roots = components(led.toDF("u", "v"))
+    apart = stored(groups.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "apart")
+    return led.unionByName(checked(near_pairs(apart, max_bits, segments)))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, segments: int, similarity: float | None, check_words: int) -> DataFrame:
     """``(_id, part, fp, root, component_id)`` of every row; part tells apart texts that share an id."""
     prints = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("part"), fingerprint(F.col(text_col), shingle).alias("fp")), "prints")
-    groups = stored(prints.groupBy("fp").agg(F.min("_id").alias("low")), "print_groups")
-    pairs = near_pairs(groups.select("fp"), max_bits, segments)
-    if similarity is not None:
-        pairs = _similar(pairs, groups, docs, id_col, text_col, check_words, similarity, shingle)
-    roots = components(pairs.toDF("u", "v"))
+    groups = stored(prints.groupBy("fp").agg(F.min("_id").alias("low"), F.coalesce(F.min_by("part", "_id"), F.min("part")).alias("low_part")), "print_groups")
+    roots = components(_links(groups, docs, id_col, text_col, max_bits, segments, similarity, check_words).toDF("u", "v"))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.join(rooted.join(lows, "root").select("fp", "root", "component_id"), "fp")
