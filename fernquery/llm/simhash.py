@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernquery.llm.common import components, stored
+from fernquery.llm.set_similarity import shingles, similar_links
 
 _CHUNK = 1 << 15
 #: Fingerprints in candidate pairs up to which they are broadcast.
@@ -116,15 +117,6 @@ def near_pairs(prints: DataFrame, max_bits: int = 2, segments: int = 2, leaders:
 def _similar(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
     """The pairs whose representatives' texts have a Jaccard similarity of ``least`` or more over ``shingle``-word shingles."""
 
-    @F.arrow_udf("array<bigint>")
-    def shingles(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.cast(pa.binary()).to_pylist():
-            words = t.lower().split() if t else []
-            grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-            out.append(np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
-
     pairs = stored(pairs, "candidate_pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(groups, "fp").select("fp", F.col("low").alias("m_id"), F.col("low_part").alias("m_part"))
     met = stored(met, "compared")
@@ -132,12 +124,12 @@ def _similar(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str,
         met = F.broadcast(met)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("_part"), F.col(text_col).alias("_text"))
     rows = rows.join(met, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_part") == F.col("m_part")))
-    sets = stored(rows.select("fp", shingles("_text").alias("s")).groupBy("fp").agg(F.min("s").alias("s")), "shingle_sets")
+    sets = stored(rows.select("fp", shingles(F.col("_text"), shingle).alias("s")).groupBy("fp").agg(F.min("s").alias("s")), "shingle_sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return both.filter(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int | None = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
     """One row per document: ``(id, fingerprint, component_id)``.
 
     Texts are compared whole, A-Z lower-cased, by the SimHash of their
@@ -147,7 +139,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null and empty texts have fingerprint 0 and are linked by it like any other.
     Repeated rows stay repeated. A null id never becomes a component_id unless the
     component has no other. With ``similarity``, links between different fingerprints
-    also need that Jaccard similarity over ``check_words``-word shingles. Columns besides the two named are not looked at.
+    also need that Jaccard similarity over ``check_words``-word shingles. Without ``max_bits``
+    (None), texts with that similarity are linked however far their fingerprints are apart. Columns besides the two named are not looked at.
     """
     found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words)
     return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -173,17 +166,29 @@ def _links(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_b
     return led.unionByName(checked(near_pairs(apart, max_bits, segments)))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, segments: int, similarity: float | None, check_words: int) -> DataFrame:
+def _similar_prints(prints: DataFrame, docs: DataFrame, text_col: str, similarity: float, check_words: int) -> DataFrame:
+    """Links between the fingerprints of all texts that are similar, not of representatives alone."""
+    texts = docs.select(F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("part"), F.col(text_col).alias("text"))
+    own = prints.select("part", "fp").distinct()
+    links = similar_links(texts, check_words, similarity).join(own.toDF("a", "fp_a"), "a").join(own.toDF("b", "fp_b"), "b")
+    return links.filter("fp_a <> fp_b").select("fp_a", "fp_b")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int | None, segments: int, similarity: float | None, check_words: int) -> DataFrame:
     """``(_id, part, fp, root, component_id)`` of every row; part tells apart texts that share an id."""
     prints = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("part"), fingerprint(F.col(text_col), shingle).alias("fp")), "prints")
     groups = stored(prints.groupBy("fp").agg(F.min("_id").alias("low"), F.coalesce(F.min_by("part", "_id"), F.min("part")).alias("low_part")), "print_groups")
-    roots = components(_links(groups, docs, id_col, text_col, max_bits, segments, similarity, check_words).toDF("u", "v"))
+    if max_bits is None:
+        links = _similar_prints(prints, docs, text_col, similarity, check_words)
+    else:
+        links = _links(groups, docs, id_col, text_col, max_bits, segments, similarity, check_words)
+    roots = components(links.toDF("u", "v"))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.join(rooted.join(lows, "root").select("fp", "root", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int | None = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
     """The documents with one of each near-duplicate component kept, whole rows; parameters as in ``near_duplicates``.
 
     The row with the component's smallest id stays (null is larger than any); of rows

@@ -220,6 +220,36 @@ def test_leaders_join_what_all_pairs_join(spark):
     assert len({find(i) for i in range(len(texts))}) < len(texts) / 2
 
 
+def test_similar_texts_are_linked_however_far_their_prints(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(40, 200)))]
+        for k in range(8):
+            own = list(base)
+            for at in rng.choice(len(base), int(rng.integers(0, 1 + len(base) // 25)), replace=False):
+                own[at] = f"new{k}x{at}"
+            texts.append(" ".join(own + [f"tail{g}x{k}x{i}" for i in range(int(rng.integers(0, len(base) // 10)))]))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, max_bits=None, similarity=0.8).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    prints, root = [_print(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            similar = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            far += similar and bin(prints[a] ^ prints[b]).count("1") > 7
+            if prints[a] == prints[b] or similar:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert far
+    assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
 @pytest.mark.parametrize("bits,segments", [(2, 2), (7, 4), (5, 3)])
 def test_near_pairs_equal_brute_force(spark, bits, segments):
     rng = np.random.default_rng(3)
