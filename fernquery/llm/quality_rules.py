@@ -76,10 +76,25 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def normalised(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, SPACES, " ")))
+
+
+def line_hash(host: Column, line: Column) -> Column:
+    """Hash of a host and a normalised line."""
+    return F.xxhash64(host, host.isNull(), line)
+
+
 def line_hashes(host: Column, text: Column) -> Column:
     """Distinct ``(h, words)`` of a text's lines: hash of host and normalised line, and the words on all lines like it."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, SPACES, " ")))), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(host, host.isNull(), x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normalised), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(line_hash(host, x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
+
+
+def without_lines(host: Column, text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes are in ``gone``; as it is where that is null."""
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, line_hash(host, normalised(x))))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
 def common_lines(docs: DataFrame, host_col: str, text_col: str, share: float, least: int) -> DataFrame:
@@ -112,13 +127,25 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     an id like any other; repeated rows get equal rows each, and count once in line
     frequencies, as do documents of one host with equal texts.
     """
-    part = F.xxhash64(F.col(text_col), F.col(text_col).isNull(), F.col(host_col), F.col(host_col).isNull())
+    return _verdicts(docs, _lost(docs, id_col, text_col, host_col, line_share, least_texts).drop("gone"), id_col, text_col, host_col, left_share)
+
+
+def _part(text_col: str, host_col: str) -> Column:
+    return F.xxhash64(F.col(text_col), F.col(text_col).isNull(), F.col(host_col), F.col(host_col).isNull())
+
+
+def _lost(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_share: float, least_texts: int) -> DataFrame:
+    """``(c_id, c_part, common_words, gone)`` of the rows with lines above the limit: words on them, and their hashes."""
     common = stored(common_lines(docs, host_col, text_col, line_share, least_texts), "common_lines")
     few = F.broadcast(common) if common.count() <= MAX_LINES else common
-    lines = docs.select(F.col(id_col).alias("c_id"), part.alias("c_part"), F.posexplode(line_hashes(F.col(host_col), F.col(text_col))).alias("pos", "line"))
+    lines = docs.select(F.col(id_col).alias("c_id"), _part(text_col, host_col).alias("c_part"), F.posexplode(line_hashes(F.col(host_col), F.col(text_col))).alias("pos", "line"))
     hit = lines.select("c_id", "c_part", "pos", F.col("line.h").alias("h"), F.col("line.words").alias("words")).join(few, "h", "left_semi")
-    lost = hit.groupBy("c_id", "c_part", "pos").agg(F.max("words").alias("words")).groupBy("c_id", "c_part").agg(F.sum("words").cast("long").alias("common_words"))
-    rows = docs.select(F.col(id_col), part.alias("part"), *(v.alias(k) for k, v in measures(F.col(text_col)).items()))
+    hit = hit.groupBy("c_id", "c_part", "pos").agg(F.max("words").alias("words"), F.max("h").alias("h"))
+    return hit.groupBy("c_id", "c_part").agg(F.sum("words").cast("long").alias("common_words"), F.collect_set("h").alias("gone"))
+
+
+def _verdicts(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, host_col: str, left_share: float) -> DataFrame:
+    rows = docs.select(F.col(id_col), _part(text_col, host_col).alias("part"), *(v.alias(k) for k, v in measures(F.col(text_col)).items()))
     out = rows.join(lost, rows[id_col].eqNullSafe(F.col("c_id")) & (F.col("part") == F.col("c_part")), "left").drop("c_id", "c_part")
     out = out.withColumn("common_words", F.coalesce("common_words", F.lit(0)).cast("long"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -126,8 +153,13 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     return out.withColumns({"base_failed": base, "depleted": depleted, "kept": ~base & ~depleted})
 
 
-def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, whole rows, repeated rows included."""
+def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_share: float = LINE_SHARE, least_texts: int = LEAST_TEXTS, left_share: float = LEFT_SHARE) -> DataFrame:
+    """The documents that the rules keep, repeated rows included, their texts without the lines above the limit; other columns as they are."""
+    lost = stored(_lost(docs, id_col, text_col, host_col, line_share, least_texts), "lost_lines")
+    bad = _verdicts(docs, lost.drop("gone"), id_col, text_col, host_col, left_share).filter("not kept").select(F.col(id_col).alias("b_id"), F.col("part").alias("b_part")).distinct()
     part = F.xxhash64(docs[text_col], docs[text_col].isNull(), docs[host_col], docs[host_col].isNull())
-    bad = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col).filter("not kept").select(F.col(id_col).alias("b_id"), F.col("part").alias("b_part")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["b_id"]) & (part == bad["b_part"]), "left_anti")
+    kept = docs.join(bad, docs[id_col].eqNullSafe(bad["b_id"]) & (part == bad["b_part"]), "left_anti")
+    cut = lost.select(F.col("c_id").alias("_c_id"), F.col("c_part").alias("_c_part"), F.col("gone").alias("_gone"))
+    kept = kept.join(cut, kept[id_col].eqNullSafe(cut["_c_id"]) & (part == cut["_c_part"]), "left")
+    text = without_lines(F.col(host_col), F.col(text_col), F.col("_gone")).alias(text_col)
+    return kept.select(*(text if c == text_col else F.col(c) for c in docs.columns))

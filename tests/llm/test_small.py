@@ -408,3 +408,14 @@ def test_common_lines_deplete(spark):
     assert all(got[i]["kept"] and got[i]["common_words"] == 72 for i in range(40, 80))
     assert all(got[i]["kept"] and got[i]["common_words"] == 0 for i in [*range(100, 120), 300, 301, 302])
     assert {r["doc_id"] for r in quality_rules.kept_documents(frame).collect()} == {i for i in got if got[i]["kept"]}
+
+
+def test_common_lines_are_cut(spark):
+    own = lambda i: " ".join(f"own{i}word{j}" for j in range(60))
+    texts = [(i, f"{own(i)}\n  Share\tTHIS page \n\nlast {i}\nshare this page", "h") for i in range(30)]
+    frame = spark.createDataFrame([*texts, texts[0], (None, texts[1][1], "h"), (50, texts[0][1], "other"), (51, own(51), "h")], SCHEMA).select("source", "text", "doc_id")
+    kept = quality_rules.kept_documents(frame)
+    assert kept.columns == frame.columns
+    cut = lambda i: f"{own(i)}\n\nlast {i}"
+    want = [(i, cut(i), "h") for i in range(30)] + [(0, cut(0), "h"), (None, cut(1), "h"), (50, texts[0][1], "other"), (51, own(51), "h")]
+    assert rows(kept, "doc_id", "text", "source") == sorted(want, key=repr)
