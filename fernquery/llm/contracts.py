@@ -54,7 +54,7 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    model, scored = ngram_lm.train_and_score(docs, ~F.col("held_out"))
+    model, scored = ngram_lm.train_and_score(docs, ~F.col("held_out"), min_count=1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -11,7 +11,7 @@ Every level is cut by ranges of contexts into shards that single tasks build fro
 rows and write to the shared folder. Readers map the files into memory.
 
 Counts cover all training texts. N-grams of two and three words are kept if they occur
-MIN_COUNT times or more. A bigram can only do so if its words do, and a trigram only if
+``min_count`` times or more; with 1, all are. A bigram can only do so if its words do, and a trigram only if
 its bigrams do, so the levels already built leave out most candidates before a shuffle.
 Smoothing is interpolated absolute discounting, down to add-one over words:
 ``p(w|h) = (c - D) / C(h) + b(h) p(w|h')``, where b(h) is the mass that the kept successors
@@ -192,9 +192,10 @@ class Model:
     tokens: int
     words: int
     shards: dict[int, list[Shard]]
+    min_count: int = MIN_COUNT
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("folder", "tokens", "words", "shards")}
+        return {k: self.__dict__[k] for k in ("folder", "tokens", "words", "shards", "min_count")}
 
     @cached_property
     def level1(self) -> Level:
@@ -232,7 +233,7 @@ class Model:
         """
         h, owner = text_tokens(texts)
         word, count = self.ids(h)
-        codes = np.where(count >= MIN_COUNT, word, np.where(count > 0, RARE, UNKNOWN)).astype(self.kind)
+        codes = np.where(count >= self.min_count, word, np.where(count > 0, RARE, UNKNOWN)).astype(self.kind)
         n = np.bincount(owner, minlength=len(texts))
         known = np.bincount(owner, weights=count > 0, minlength=len(texts)).astype(np.int64)
         base = np.bincount(owner, weights=self.log_word(count), minlength=len(texts))
@@ -364,9 +365,9 @@ def _build(rows: DataFrame, model: Model, number: int, total: int) -> list[Shard
     return [Shard(r["first"] + (1 << 63) if number == 1 else r["first"], r["contexts"], r["offset"], r["entries"]) for r in sorted(made, key=lambda r: r["offset"])]
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> Model:
+def vocabulary(docs: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> Model:
     """A model of level 1 from all texts of ``docs``; null texts are empty. Without texts every token is unknown."""
-    model = Model(fresh_path(docs.sparkSession, "lm"), 0, 0, {1: [], 2: [], 3: []})
+    model = Model(fresh_path(docs.sparkSession, "lm"), 0, 0, {1: [], 2: [], 3: []}, min_count)
     store, base = _fs(model.folder)
     store.create_dir(base, recursive=True)
 
@@ -404,7 +405,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Model:
     model.words, model.tokens = total, sums or 0
     shards = {**model.shards, 1: _build(rows, model, 1, total) if total else []}
     drop_stored(rows)
-    return Model(model.folder, model.tokens, model.words, shards)
+    return Model(model.folder, model.tokens, model.words, shards, min_count)
 
 
 def encoded(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
@@ -440,11 +441,11 @@ def train(texts: DataFrame, model: Model, codes_col: str = "codes") -> Model:
 
     below = model.words
     for number, grams in ((2, pairs), (3, triples)):
-        rows = stored(_gather(texts.select(codes_col), grams, below < 1 << 31).filter(F.col("c") >= MIN_COUNT), f"grams{number}")
+        rows = stored(_gather(texts.select(codes_col), grams, below < 1 << 31).filter(F.col("c") >= model.min_count), f"grams{number}")
         below = rows.count()
         shards = {**model.shards, number: _build(rows, model, number, below) if below else []}
         drop_stored(rows)
-        model = Model(model.folder, model.tokens, model.words, shards)
+        model = Model(model.folder, model.tokens, model.words, shards, model.min_count)
     return model
 
 
@@ -460,14 +461,14 @@ def score(texts: DataFrame, model: Model, codes_col: str = "codes", base_col: st
     return F.col(base_col) + run(F.col(codes_col))
 
 
-def train_and_score(docs: DataFrame, train_on: Column, *, text_col: str = "text") -> tuple[Model, DataFrame]:
+def train_and_score(docs: DataFrame, train_on: Column, *, text_col: str = "text", min_count: int = MIN_COUNT) -> tuple[Model, DataFrame]:
     """A model of the rows for which ``train_on`` holds, and all rows with ``n_tokens, n_known, base_score, score`` in place of the text.
 
     A null text has the end as its only token; repeated rows count as often as they are
     there. Input columns that have the name of a new one are left out.
     """
     marked = docs.withColumn("_train", train_on)
-    model = vocabulary(marked.filter("_train"), text_col)
+    model = vocabulary(marked.filter("_train"), text_col, min_count)
     rest = [c for c in docs.columns if c not in (text_col, "_train", "_e", "codes", "n_tokens", "n_known", "base_score", "score")]
     texts = stored(marked.select(*rest, "_train", encoded(marked, model, text_col).alias("_e")).select(*rest, "_train", "_e.*"), "encoded")
     model = train(texts.filter("_train"), model)

@@ -368,6 +368,33 @@ def test_language_model(docs, empty, monkeypatch, shard):
     assert all(r["n_known"] == 0 and r["score"] == 0 for r in unseen)
 
 
+def test_language_model_keeps_all_ngrams(spark):
+    texts = ["a b c d", "a b e", "c d a", "b a x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, scored = ngram_lm.train_and_score(frame, F.col("doc_id") < 3, min_count=1)
+    u, b, t = Counter(), Counter(), Counter()
+    for x in texts[:3]:
+        w = [*x.split(), None]
+        u.update(w), b.update(zip(w, w[1:])), t.update(zip(w, w[1:], w[2:]))
+    n, v, d = sum(u.values()), len(u), ngram_lm.DISCOUNT
+
+    def smooth(grams, total, context, word, lower):
+        own = {k: c for k, c in grams.items() if k[:-1] == context}
+        if not own:
+            return lower
+        return max(own.get((*context, word), 0) - d, 0) / total + (1 - sum(c - d for c in own.values()) / total) * lower
+
+    def p(w, i):
+        out = (u[w[i]] + 1) / (n + v + 1)
+        out = out if i == 0 else smooth(b, u[w[i - 1]], (w[i - 1],), w[i], out)
+        return out if i < 2 else smooth(t, b[w[i - 2], w[i - 1]], (w[i - 2], w[i - 1]), w[i], out)
+
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    for k, x in enumerate(texts):
+        w = [*x.split(), None]
+        assert abs(got[k] - sum(math.log10(p(w, i)) for i in range(len(w)))) < 0.03 * len(w)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for universe, n in ((1 << 63, 1000), (100, 50), (10**12, 70_000), (1000, 999), (5, 0), (1 << 40, 1)):
