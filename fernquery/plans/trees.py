@@ -212,7 +212,7 @@ def title_line_match(spark, sf):
 @query("title_assignment")
 def title_assignment(spark, sf):
     lines = chunk.lines(table(spark, sf, "documents"))
-    titles = lines.filter("line_no % 5 = 0").select("doc_id", F.substring("line", 1, 8).alias("title")).distinct()
+    titles = lines.select("doc_id", F.col("line").alias("title")).distinct()
     found = toc.title_candidates(titles, lines, "doc_id").groupBy("doc_id", "title").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
     rows = found.select("doc_id", F.get("lines", F.lit(0)).alias("ord"), "title", "lines", F.transform("lines", lambda n: n % 2 == 0).alias("verified"))
     return toc.assign_in_order(rows, "doc_id")

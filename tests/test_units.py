@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fernquery.functions import json_salvage
 from fernquery.functions import text as X
 from fernquery.operators import chunk, evidence, extract, graph, index, models, ranking, toc, tree
+from fernquery.plans import trees
 from fernquery.sources import stores
 
 
@@ -181,3 +182,19 @@ def test_stores(spark, tmp_path):
     old, new = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "k string, x int, y int"), spark.createDataFrame([("a", 9, None), ("c", 5, 6)], "k string, x int, y int")
     assert sorted(map(tuple, graph.upsert(old, new, "k").collect())) == [("a", 9, 2), ("b", 3, 4), ("c", 5, 6)]
     assert sorted(map(tuple, graph.replace_rows(old, new, "k").collect()), key=repr) == [("a", 9, None), ("b", 3, 4), ("c", 5, 6)]
+
+
+@pytest.fixture(scope="module")
+def whole_documents(spark, tmp_path_factory):
+    """Documents that differ from cut ones only far behind their beginning."""
+    path = tmp_path_factory.mktemp("sf")
+    tail = 'a "quoted" {word}\tand\u0001 more\n'
+    rows = [(i, "word " * 20 + tail * 3 + f"end {i}") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path), dict(rows)
+
+
+def test_titles_come_from_all_lines(spark, whole_documents):
+    path, texts = whole_documents
+    got = {(r["doc"], r["title"]) for r in trees.title_assignment(spark, path).select(F.col("doc").cast("long"), "title").collect()}
+    assert got == {(i, line) for i, t in texts.items() for line in t.split("\n")}
