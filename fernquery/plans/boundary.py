@@ -37,11 +37,11 @@ def graphml_round_trip(spark, sf):
 
 @query("json_salvage")
 def json_salvage_query(spark, sf):
-    """Replies of several broken kinds around the benchmark's texts."""
-    b = table(spark, sf, "benchmark")
-    text = F.to_json(F.struct(F.substring("text", 1, 40).alias("answer"), F.col("item_id").alias("n")))
-    reply = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("sure "), F.regexp_replace(text, r"\}$", ",}"))).otherwise(text)
-    return b.select("item_id", json_salvage.salvaged(reply).alias("salvaged"), json_salvage.loosely_read(reply).alias("loose"))
+    """Replies of several broken kinds around the whole texts of documents."""
+    d = table(spark, sf, "documents")
+    text = F.to_json(F.struct(F.col("text").alias("answer"), F.col("doc_id").alias("n")))
+    reply = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("sure "), F.regexp_replace(text, r"\}$", ",}"))).otherwise(text)
+    return d.select("doc_id", json_salvage.salvaged(reply).alias("salvaged"), json_salvage.loosely_read(reply).alias("loose"))
 
 
 def _counting():

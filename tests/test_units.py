@@ -1,12 +1,14 @@
 """Hand-computed cases of operators, edge cases first."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from fernquery.functions import json_salvage
 from fernquery.functions import text as X
 from fernquery.operators import chunk, evidence, extract, graph, index, models, ranking, toc, tree
-from fernquery.plans import trees
+from fernquery.plans import boundary, trees
 from fernquery.sources import stores
 
 
@@ -194,6 +196,13 @@ def whole_documents(spark, tmp_path_factory):
     return str(path), dict(rows)
 
 
+def test_json_salvage_reads_whole_documents(spark, whole_documents):
+    path, texts = whole_documents
+    got = {r["doc_id"]: json.loads(r["loose"]) for r in boundary.json_salvage_query(spark, path).collect()}
+    assert {i: got[i]["answer"] for i in got if i % 3 != 1} == {i: t for i, t in texts.items() if i % 3 != 1}
+    assert len(got) == len(texts)
+
+
 def test_titles_come_from_all_lines(spark, whole_documents):
     path, texts = whole_documents
     got = {(r["doc"], r["title"]) for r in trees.title_assignment(spark, path).select(F.col("doc").cast("long"), "title").collect()}
