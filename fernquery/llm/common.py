@@ -33,6 +33,23 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows that share a key from which they are joined where they are; such keys up to which the other side's rows for them are broadcast.
+HOT_ROWS, MAX_HOT = 1000, 500_000
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Inner join on ``key``, where ``right`` has each key once, and ``counts(key, n)`` says how many rows of ``left`` a key has.
+
+    Rows of a key that HOT_ROWS or more share are not gathered in one task: the row of ``right``
+    for such a key is broadcast. There are no more of those than a thousandth of the rows.
+    """
+    hot = stored(right.join(counts.filter(F.col("n") >= HOT_ROWS).select(key), key), "hot_rows")
+    if not 0 < hot.count() <= MAX_HOT:
+        return left.join(right, key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key)
+    return rest.unionByName(left.join(F.broadcast(hot), key).select(rest.columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone: other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

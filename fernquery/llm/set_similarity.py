@@ -6,25 +6,36 @@ one of the first ``n - ceil(t n) + 1`` shingles of each, so only texts that meet
 a prefix are compared. The sample decides the order alone, and so the cost: any order
 gives the same pairs.
 
-A group of near copies would give pairs by the square of its size. Texts are first
-compared with one leader of their size for each shingle, drawn anew for each, and then only pairs between
-components that are still apart are looked for. No link between components is lost.
+A group of near copies would give pairs by the square of its size. So texts are compared,
+in rounds, with one leader of their size for each shingle, drawn anew in each round, as long
+as that links components that were apart; a round has no more pairs than prefixes have
+shingles. Only then are the pairs looked for that are left between components that
+are still apart, and of those only the ones whose parity signatures allow the similarity: a
+shingle that one set alone has flips one bit, so sets whose signatures differ in more bits than
+their sizes allow shingles to differ cannot be similar. No link between components is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import components, stored
+from fernquery.llm.common import components, drop_stored, stored
 
 #: Texts of the sample, about; shingles of it that are put last, at most, and the sampled texts that hold one at least.
 SAMPLE, MAX_COMMON, LEAST_HELD = 20_000, 200_000, 3
 #: Texts in candidate pairs up to which they are broadcast.
 MAX_COMPARED = 500_000
+#: 64-bit words of a signature.
+SIGNATURE = 16
+#: Of the pairs that a round compares, the share that must be links for another round to follow.
+WORTH = 0.02
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
@@ -34,6 +45,12 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64))
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parity of how many hashes fall on each of 64 * SIGNATURE places."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingles(text: Column, shingle: int) -> Column:
     @F.arrow_udf("array<bigint>")
     def run(texts: pa.Array) -> pa.Array:
@@ -54,28 +71,28 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``(part, n, keys)``: size of each distinct text's set, and its prefix in the common order."""
+    """``(part, n, bits, keys)``: size and signature of each distinct text's set, and its prefix in the common order."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
 
-    @F.arrow_udf("struct<n:bigint,keys:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,bits:array<bigint>,keys:array<bigint>>")
     def run(batch: pa.Array) -> pa.Array:
         often, held = shared.value
-        sizes, keys = [], []
+        sizes, bits, keys = [], [], []
         for t in batch.cast(pa.binary()).to_pylist():
             s = shingle_set(t, shingle)
             at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
             rank = np.where(often[at] == s, held[at], 0) if len(often) else np.zeros(len(s), np.int64)
             most = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
             sizes.append(len(s))
+            bits.append(signature(s))
             keys.append(s[np.lexsort((s, rank))][:most].view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["n", "keys"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["n", "bits", "keys"])
 
-    return texts.select("part", run(F.col("text")).alias("p")).groupBy("part").agg(F.min("p").alias("p")).select("part", "p.n", "p.keys")
+    return texts.select("part", run(F.col("text")).alias("p")).groupBy("part").agg(F.min("p").alias("p")).select("part", "p.n", "p.bits", "p.keys")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets are similar."""
-    pairs = stored(pairs, "similar_candidates")
     met = stored(pairs.select(F.explode(F.array("a", "b")).alias("part")).distinct(), "similar_met")
     if met.count() <= MAX_COMPARED:
         met = F.broadcast(met)
@@ -87,7 +104,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links ``(a, b)`` between texts of ``texts(part, text)`` that join the same components as all pairs with a similarity of ``least`` would.
 
-    ``part`` identifies a text; rows may repeat. ``least`` is above 0.
+    ``part`` identifies a text; rows may repeat. A null or empty text, or one of fewer words than a shingle
+    has, is one shingle. ``least`` is above 0.
     """
     sets = stored(_prefixes(texts, shingle, least), "prefixes")
     posted = sets.select("part", "n", F.posexplode("keys").alias("pos", "key"))
@@ -99,14 +117,37 @@ def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         n, m, i, j = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
         return F.least(n - i, m - j) * (1 + least) >= least * (n + m) - 1e-6
 
-    size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(min(least, 0.99))))
-    led = held.withColumn("size", size)
-    first = led.groupBy("key", "size").agg(F.min(F.struct(F.xxhash64("key", "part").alias("drawn"), "part", "n", "pos")).alias("l")).select("key", "size", "l.*")
-    pairs = led.alias("x").join(first.alias("y"), ["key", "size"]).filter((F.col("x.part") != F.col("y.part")) & able("x", "y"))
-    found = _verified(pairs.select(F.least("x.part", "y.part").alias("a"), F.greatest("x.part", "y.part").alias("b")).distinct(), texts, shingle, least)
-    roots = components(found.toDF("u", "v"))
-    rooted = stored(held.join(roots.withColumnRenamed("node", "part"), "part", "left").withColumn("root", F.coalesce("root", "part")), "rooted_postings")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    apart = stored(rooted.join(mixed, "key"), "apart_postings")
-    pairs = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & able("x", "y"))
-    return found.unionByName(_verified(pairs.select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct(), texts, shingle, least))
+    def differing(a: str, b: str) -> Column:
+        """Bits in which the signatures differ."""
+        return reduce(add, (F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(SIGNATURE)))
+
+    def apart(found: list[DataFrame]) -> DataFrame:
+        """The postings of shingles that texts of more than one component hold, with the texts' components."""
+        roots = components(reduce(DataFrame.unionByName, found).toDF("u", "v"))
+        rooted = stored(held.join(roots.withColumnRenamed("node", "part"), "part", "left").withColumn("root", F.coalesce("root", "part")), "rooted_postings")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        out = stored(rooted.join(mixed, "key"), "apart_postings")
+        drop_stored(rooted)
+        return out
+
+    found, left, k = [], held.withColumn("root", F.col("part")), 0
+    while True:
+        size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(min(least, 0.99))) + 0.5 * (k % 2))
+        led = left.withColumn("size", size)
+        drawn = F.min(F.struct(F.xxhash64("key", "part", F.lit(k)).alias("drawn"), "part", "root", "n", "pos")).alias("l")
+        first = led.groupBy("key", "size").agg(drawn).select("key", "size", "l.*")
+        pairs = led.alias("x").join(first.alias("y"), ["key", "size"]).filter((F.col("x.root") != F.col("y.root")) & able("x", "y"))
+        pairs = stored(pairs.select(F.least("x.part", "y.part").alias("a"), F.greatest("x.part", "y.part").alias("b")).distinct(), "led_pairs")
+        compared = pairs.count()
+        found.append(_verified(pairs, texts, shingle, least))
+        linked = found[-1].count()
+        if linked:
+            left = apart(found)
+        if linked <= WORTH * compared:
+            break
+        k += 1
+    signed = stored(left.join(sets.select("part", "bits"), "part"), "signed_postings")
+    near = differing("x", "y") * (1 + least) <= (1 - least) * (F.col("x.n") + F.col("y.n")) + 1e-6
+    pairs = signed.alias("x").join(signed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & able("x", "y") & near)
+    rest = stored(pairs.select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct(), "rest_pairs")
+    return reduce(DataFrame.unionByName, [*found, _verified(rest, texts, shingle, least)])

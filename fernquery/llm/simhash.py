@@ -14,6 +14,8 @@ find it, so it appears once without a distinct.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,30 +24,41 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import components, stored
+from fernquery.llm.common import components, joined, stored
 from fernquery.llm.set_similarity import shingles, similar_links
 
-_CHUNK = 1 << 15
-#: Fingerprints in candidate pairs up to which they are broadcast.
+#: Hashes whose bits are counted together; bytes of text that are cut into words together.
+_CHUNK, _WINDOW = 1 << 15, 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Fingerprints in candidate pairs, or rows to be left out, up to which they are broadcast.
 MAX_COMPARED = 500_000
 
 
+def _grams(text: bytes, shingle: int) -> Iterator[list[bytes]]:
+    """The shingles of a text, some windows of words at a time; of fewer words, the whole sequence."""
+    words, whole, at = [], True, 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _WINDOW)
+        stop = gap.start() if gap else len(text)
+        words += text[at:stop].lower().split()
+        at = stop
+        if len(words) >= shingle:
+            yield list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+            words, whole = words[len(words) - shingle + 1 :], False
+    if whole and words:
+        yield [b" ".join(words)]
+
+
 def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """The fingerprint of one text, as an unsigned number; 0 where it has no word."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        part = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for grams in _grams(text or b"", shingle):
+        n += len(grams)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype="<u8", count=len(grams))
+        for at in range(0, len(hashes), _CHUNK):
+            part = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
@@ -177,27 +190,37 @@ def _similar_prints(prints: DataFrame, docs: DataFrame, text_col: str, similarit
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int | None, segments: int, similarity: float | None, check_words: int) -> DataFrame:
     """``(_id, part, fp, root, component_id)`` of every row; part tells apart texts that share an id."""
     prints = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("part"), fingerprint(F.col(text_col), shingle).alias("fp")), "prints")
-    groups = stored(prints.groupBy("fp").agg(F.min("_id").alias("low"), F.coalesce(F.min_by("part", "_id"), F.min("part")).alias("low_part")), "print_groups")
+    groups = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("low"), F.coalesce(F.min_by("part", "_id"), F.min("part")).alias("low_part")), "print_groups")
     if max_bits is None:
         links = _similar_prints(prints, docs, text_col, similarity, check_words)
     else:
         links = _links(groups, docs, id_col, text_col, max_bits, segments, similarity, check_words)
     roots = components(links.toDF("u", "v"))
-    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(rooted.join(lows, "root").select("fp", "root", "component_id"), "fp")
+    rooted = stored(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = joined(rooted.select("fp", "root"), lows.select("root", "component_id"), "root", lows.select("root", "n"))
+    return joined(prints, stored(found, "component_ids"), "fp", rooted.select("fp", "n"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int | None = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
     """The documents with one of each near-duplicate component kept, whole rows; parameters as in ``near_duplicates``.
 
-    The row with the component's smallest id stays (null is larger than any); of rows
-    that repeat its id and text, one.
+    The row with the component's smallest id stays (null is larger than any), of texts that share
+    that id the one with the smallest hash; of rows that repeat its id and text, the one whose
+    columns come first as JSON text.
     """
     found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words).select("root", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "part").alias("row"))
     found = stored(found, "classes")
-    first = found.groupBy("root").agg(F.min("row").alias("first"))
-    gone = found.join(first, "root").filter("row <> first").select(F.col("row.id").alias("g_id"), F.col("row.part").alias("g_part")).distinct()
+    first = found.groupBy("root").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = joined(found, first.select("root", "first"), "root", first.select("root", "n"))
+    gone = several.filter("row <> first").select("row.id", "row.part", F.lit(True).alias("gone")).distinct()
+    again = several.filter("row = first").groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row.id", "row.part", F.lit(False).alias("gone"))
+    marks = stored(gone.unionByName(again).toDF("_m_id", "_m_part", "_gone"), "gone")
+    if marks.count() <= MAX_COMPARED:
+        marks = F.broadcast(marks)
     part = F.xxhash64(docs[text_col], docs[text_col].isNull())
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone["g_id"]) & (part == gone["g_part"]), "left_anti")
-    return left.dropDuplicates([id_col, text_col])
+    left = docs.join(marks, docs[id_col].eqNullSafe(F.col("_m_id")) & (part == F.col("_m_part")), "left")
+    plain = left.filter("_gone is null").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    one = left.filter("not _gone").groupBy("_m_id", "_m_part").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return plain.unionByName(one)

@@ -50,13 +50,14 @@ def hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndar
     return mixed((total[stops] - total[starts]) * down[starts])
 
 
-def chunks(texts: list, size=len) -> Iterator[list]:
-    """Consecutive texts of about CHUNK characters together, one text at least."""
+def chunks(texts: list, size=len, limit: int | None = None) -> Iterator[list]:
+    """Consecutive texts of about CHUNK characters together, or of ``limit``, one text at least."""
+    limit = limit or CHUNK
     held, total = [], 0
     for t in texts:
         held.append(t)
         total += size(t)
-        if total >= CHUNK:
+        if total >= limit:
             yield held
             held, total = [], 0
     if held:
@@ -93,9 +94,23 @@ def _byte_table() -> tuple[np.ndarray, np.ndarray]:
 
 
 def spaced_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of its text): runs of bytes other than white space, A-Z lower-cased."""
+    """(hash of each word, number of its text): runs of bytes other than white space, A-Z lower-cased.
+
+    The bytes are read in windows that end at white space, so a long text takes no more
+    room at a time than a short one; a single word longer than a window does.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     kind, value = _byte_table()
-    starts, stops = runs(kind[data])
+    begun, found, at = [], [], 0
+    while at < len(data):
+        stop = min(at + CHUNK, len(data))
+        while stop < len(data) and kind[data[stop - 1]]:
+            gap = np.flatnonzero(kind[data[stop : stop + CHUNK]] == 0)
+            stop = stop + int(gap[0]) + 1 if len(gap) else min(stop + CHUNK, len(data))
+        own = data[at:stop]
+        starts, stops = runs(kind[own])
+        begun.append(starts + at)
+        found.append(hashes(value[own], starts, stops))
+        at = stop
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    return hashes(value[data], starts, stops), np.searchsorted(ends, starts, side="right")
+    return np.concatenate(found), np.searchsorted(ends, np.concatenate(begun), side="right")

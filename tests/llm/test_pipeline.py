@@ -12,14 +12,16 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before, found = docs, stage(spark, docs, SF)
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        before, found = docs, spark.read.parquet(f"{tmp_path}/{k}")
         if k < 4:
             assert found.columns == columns
-            assert found.exceptAll(before).count() == 0
+            same = columns if k else [c for c in columns if c != "text"]  # the rules cut lines from texts
+            assert found.select(*same).exceptAll(before.select(*same)).count() == 0
         if name == "quality_rules":
             kept = {r["doc_id"] for r in quality_rules.judge(before).filter("kept").collect()}
             assert {r["doc_id"] for r in found.collect()} == kept

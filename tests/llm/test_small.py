@@ -353,10 +353,9 @@ def _lm(texts, train):
 
 
 @pytest.mark.parametrize("shard", [1 << 21, 7])
-def test_language_model(docs, empty, monkeypatch, shard):
-    monkeypatch.setattr(ngram_lm, "SHARD", shard)
+def test_language_model(docs, empty, shard):
     source = docs.filter("doc_id is null or doc_id <> 7") if shard == 7 else docs
-    model, scored = ngram_lm.train_and_score(source.select("doc_id", "text", "score"), F.col("doc_id") % 2 == 0)
+    model, scored = ngram_lm.train_and_score(source.select("doc_id", "text", "score"), F.col("doc_id") % 2 == 0, shard=shard)
     own = [(i, t) for i, t, _ in TEXTS if shard != 7 or i != 7]
     want = dict(zip([i for i, _ in own], _lm([t for _, t in own], [t for i, t in own if i is not None and i % 2 == 0])))
     for r in scored.collect():
@@ -368,10 +367,11 @@ def test_language_model(docs, empty, monkeypatch, shard):
     assert all(r["n_known"] == 0 and r["score"] == 0 for r in unseen)
 
 
-def test_language_model_keeps_all_ngrams(spark):
-    texts = ["a b c d", "a b e", "c d a", "b a x"]
+@pytest.mark.parametrize("shard", [1 << 20, 3, 1])
+def test_language_model_keeps_all_ngrams(spark, shard):
+    texts = ["a b c d", "a b e a b f a b g a c a d", "c d a a b a a e a f a b c a b d", "b a x a b z a b e"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    _, scored = ngram_lm.train_and_score(frame, F.col("doc_id") < 3, min_count=1)
+    model, scored = ngram_lm.train_and_score(frame, F.col("doc_id") < 3, min_count=1, shard=shard)
     u, b, t = Counter(), Counter(), Counter()
     for x in texts[:3]:
         w = [*x.split(), None]
@@ -393,14 +393,18 @@ def test_language_model_keeps_all_ngrams(spark):
     for k, x in enumerate(texts):
         w = [*x.split(), None]
         assert abs(got[k] - sum(math.log10(p(w, i)) for i in range(len(w)))) < 0.03 * len(w)
+    cut = [len({(s.first) for s in model.shards[n]}) < len(model.shards[n]) for n in (2, 3)]
+    assert cut == [shard == 1, shard < 4]  # a context's successors are in several shards
 
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for universe, n in ((1 << 63, 1000), (100, 50), (10**12, 70_000), (1000, 999), (5, 0), (1 << 40, 1)):
         v = np.unique(rng.integers(0, universe, n, dtype=np.uint64))
-        s = elias_fano.Sequence(elias_fano.pack(v, universe))
-        assert (s.get(np.arange(len(v))) == v).all()
+        s = elias_fano.Sequence(elias_fano.pack(v, universe, searched=True))
+        assert (s.get(np.arange(len(v))) == v).all() and (s.range(len(v) // 3, len(v)) == v[len(v) // 3 :]).all()
+        plain = elias_fano.Sequence(elias_fano.pack(v, universe))
+        assert (plain.get(np.arange(len(v))) == v).all()
         ask = np.concatenate([v, rng.integers(0, universe, 500, dtype=np.uint64)])
         place = {int(x): i for i, x in enumerate(v)}
         assert (s.find(ask) == np.array([place.get(int(x), -1) for x in ask])).all()
