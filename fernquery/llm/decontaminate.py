@@ -147,7 +147,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     total, n_terms = tests.count(), terms.count()
     vocabulary = terms.union(docs.sparkSession.createDataFrame([(END,)], "term string")) if n_terms <= MAX_VOCABULARY else None
     index = stored(postings(_keyed(docs, id_col, text_col), vocabulary), "postings")
-    counts = stored(index.filter(F.col("term") != END).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term_counts")
+    counts = index.filter(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # added up in the tasks first
+    counts = stored(counts if vocabulary is not None else counts.join(terms, "term", "left_semi"), "term_counts")
     n_blocks = max(1, -(-total // BLOCK))
     found = stored(reduce(DataFrame.unionByName, (phrase_matches(index, tests.filter(F.pmod("phrase", F.lit(n_blocks)) == b), counts) for b in range(n_blocks))), "matches")
 

@@ -35,7 +35,7 @@ MAX_COMPARED = 500_000
 #: 64-bit words of a signature.
 SIGNATURE = 16
 #: Of the pairs that a round compares, the share that must be links for another round to follow.
-WORTH = 0.02
+WORTH = 0.1
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
@@ -98,7 +98,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
         met = F.broadcast(met)
     sets = stored(texts.join(met, "part").select("part", shingles(F.col("text"), shingle).alias("s")).groupBy("part").agg(F.min("s").alias("s")), "similar_sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    return stored(both.filter(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "similar_links")
+    out = stored(both.filter(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"), "similar_links")
+    drop_stored(sets)
+    return out
 
 
 def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -121,14 +123,11 @@ def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         """Bits in which the signatures differ."""
         return reduce(add, (F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(SIGNATURE)))
 
-    def apart(found: list[DataFrame]) -> DataFrame:
-        """The postings of shingles that texts of more than one component hold, with the texts' components."""
-        roots = components(reduce(DataFrame.unionByName, found).toDF("u", "v"))
-        rooted = stored(held.join(roots.withColumnRenamed("node", "part"), "part", "left").withColumn("root", F.coalesce("root", "part")), "rooted_postings")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        out = stored(rooted.join(mixed, "key"), "apart_postings")
-        drop_stored(rooted)
-        return out
+    def rooted(found: list[DataFrame]) -> DataFrame:
+        """The postings with the components of their texts so far."""
+        roots = stored(components(reduce(DataFrame.unionByName, found).toDF("u", "v")).withColumnRenamed("node", "part"), "similar_roots")
+        few = F.broadcast(roots) if roots.count() <= MAX_COMPARED else roots
+        return held.join(few, "part", "left").withColumn("root", F.coalesce("root", "part"))
 
     found, left, k = [], held.withColumn("root", F.col("part")), 0
     while True:
@@ -140,14 +139,19 @@ def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         pairs = stored(pairs.select(F.least("x.part", "y.part").alias("a"), F.greatest("x.part", "y.part").alias("b")).distinct(), "led_pairs")
         compared = pairs.count()
         found.append(_verified(pairs, texts, shingle, least))
+        drop_stored(pairs)
         linked = found[-1].count()
         if linked:
-            left = apart(found)
+            left = rooted(found)
         if linked <= WORTH * compared:
             break
         k += 1
-    signed = stored(left.join(sets.select("part", "bits"), "part"), "signed_postings")
+    mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    signed = stored(left.join(mixed, "key").join(sets.select("part", "bits"), "part"), "signed_postings")
     near = differing("x", "y") * (1 + least) <= (1 - least) * (F.col("x.n") + F.col("y.n")) + 1e-6
     pairs = signed.alias("x").join(signed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & able("x", "y") & near)
     rest = stored(pairs.select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct(), "rest_pairs")
-    return reduce(DataFrame.unionByName, [*found, _verified(rest, texts, shingle, least)])
+    for table in (signed, sets, held):
+        drop_stored(table)
+    found.append(_verified(rest, texts, shingle, least))
+    return reduce(DataFrame.unionByName, found)
