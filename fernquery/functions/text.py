@@ -13,9 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words and patterns that results depend on.
-PLACEHOLDER_TYPES = ("", "unknown", "未知", "unk", "n/a", "na", "none", "null")
+PLACEHOLDER_TYPES = ("", "unknown", "unk", "n/a", "na", "none", "null", "未知")
+PLACEHOLDER_DESCRIPTIONS = ("", "unknown", "n/a", "none", "null")
+DEFAULT_TITLE = "Section Chunk"
 TRUTHY = ("1", "true", "yes", "y")
-ARROWS = ("->", "=>", "→", "-")
+ARROWS = ("->", "→", "=>", "-")
+PAIR_SEPARATORS = r"[\n;；]+"
+LEADERS, SPACED_LEADERS = r"\.{5,}", r"(?:\. ){5,}\.?"
 BROKEN_DELIMITERS = ("|>", "｜>")
 TERM_SEPARATORS = r"[\n,;，；]+"
 CONTROL = r"[\x00-\x1F\x7F-\x{9F}]"
@@ -56,8 +60,18 @@ def unescape_html(x: Column) -> Column:
     return run(x)
 
 
-def clean(x: Column, entities: bool = False) -> Column:
-    """Strip, optionally resolve HTML entities, delete control characters, line ends included."""
+def unescape_each(x: Column) -> Column:
+    """HTML entities resolved in each text of an array."""
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else [t if t is None or "&" not in t else html.unescape(t) for t in r] for r in lists.to_pylist()], pa.list_(pa.string()))
+
+    return run(x)
+
+
+def clean(x: Column, entities: bool = True) -> Column:
+    """Strip, resolve HTML entities unless told not to, delete control characters, line ends included."""
     x = strip(x)
     return drop_controls(unescape_html(x) if entities else x)
 
@@ -72,12 +86,16 @@ def _peel(x: Column) -> Column:
     return F.regexp_replace(x, r"""(?s)^(?:"(.*)"|'(.*)')\z""", "$1$2")
 
 
-def normalise_field(x: Column, entities: bool = False) -> Column:
-    """Clean, peel up to two layers of quotes, then one dangling quote at either end."""
+def normalise_field(x: Column, entities: bool = True) -> Column:
+    """Clean, peel up to two layers of quotes, then one dangling quote at either end.
+
+    Inside a function over arrays, where no Python can run, ``entities`` must be False;
+    ``unescape_each`` resolves them beforehand.
+    """
     two = let(_peel(strip(clean(x, entities))), lambda y: _peel(strip(y)))
     tail = let(strip(two), lambda y: F.regexp_replace(y, r"""(?s)^(?:([^"].*)"|([^'].*)'|["'])\z""", "$1$2"))
     head = let(strip(tail), lambda y: F.regexp_replace(y, r"""(?s)^(?:"(.*[^"])|'(.*[^']))\z""", "$1$2"))
-    return clean(head, False)
+    return clean(head, entities)
 
 
 def split_markers(x: Column, markers: list[str]) -> Column:
@@ -137,13 +155,20 @@ def query_terms(x: Column) -> Column:
 
 
 def relation_ends(x: Column) -> Column:
-    """(head, tail) around the first arrow marker found, tried in order; null where there is none."""
-    out = F.lit(None).cast("struct<head:string,tail:string>")
+    """(head, tail) around the first arrow marker found, tried in order; null where there is none, or nothing on one side of it."""
+    none = F.lit(None).cast("struct<head:string,tail:string>")
+    out = none
     for arrow in reversed(ARROWS):
         at = F.locate(arrow, x)
         pair = F.struct(strip(x.substr(F.lit(1), at - 1)).alias("head"), strip(x.substr(at + len(arrow), F.length(x))).alias("tail"))
         out = F.when(at > 0, pair).otherwise(out)
-    return out
+    return F.when((out["head"] != "") & (out["tail"] != ""), out).otherwise(none)
+
+
+def relation_pairs(x: Column) -> Column:
+    """The (head, tail) pairs of a text with several, one per line or between semicolons of either width."""
+    parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), PAIR_SEPARATORS), strip), lambda r: r != "")
+    return F.filter(F.transform(parts, relation_ends), lambda p: p.isNotNull())
 
 
 def entity_type(x: Column, unknown: str = "unknown") -> Column:
@@ -159,7 +184,7 @@ def squeezed(x: Column) -> Column:
 
 def dot_leaders(x: Column) -> Column:
     """Five or more dots, adjoining or spaced, become a colon."""
-    return F.regexp_replace(F.regexp_replace(x, r"\.{5,}", ": "), r"(?:\. ){5,}\.?", ": ")
+    return F.regexp_replace(F.regexp_replace(x, LEADERS, ": "), SPACED_LEADERS, ": ")
 
 
 def page_tag(x: Column) -> Column:
@@ -167,14 +192,20 @@ def page_tag(x: Column) -> Column:
     return F.regexp_extract(F.coalesce(x, F.lit("")), r"(?:physical_index_|^\s*)([0-9]+)", 1).try_cast("int")
 
 
+def without_page_tags(x: Column) -> Column:
+    """The text without its page tags."""
+    return F.regexp_replace(x, r"</?physical_index_[0-9]+>", "")
+
+
 def page_tags(x: Column) -> Column:
     """All page numbers that a tagged text names, in order."""
     return F.transform(F.regexp_extract_all(x, F.lit(r"physical_index_([0-9]+)"), 1), lambda n: n.cast("int"))
 
 
-def chunk_title(x: Column, most: int = 80) -> Column:
-    """The first line without leading digits and signs, cut to ``most`` characters."""
-    return F.substring(strip(F.regexp_replace(F.substring_index(strip(x), "\n", 1), r"^[0-9\W_]+", "")), 1, most)
+def chunk_title(x: Column, most: int = 80, default: str = DEFAULT_TITLE) -> Column:
+    """The first line without leading digits and signs, cut to ``most`` characters; ``default`` where nothing is left, and for null."""
+    line = strip(F.regexp_replace(strip(F.substring_index(strip(F.coalesce(x, F.lit(""))), "\n", 1)), r"(?U)^[\d\W_]+", ""))
+    return F.substring(F.when(line == "", default).otherwise(line), 1, most)
 
 
 def file_name(x: Column) -> Column:

@@ -71,10 +71,13 @@ def lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 def line_context(docs: DataFrame, reach: int = 2, marker: str = ">> ", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each line with ``reach`` lines on either side, the line itself marked."""
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    rows = docs.select(id_col, split.alias("all"), F.posexplode(split).alias("line_no", "line"))
-    start = F.greatest(F.col("line_no") + 1 - reach, F.lit(1))
-    before = F.slice("all", start, F.col("line_no") + 1 - start)
-    return rows.select(id_col, "line_no", F.array_join(F.concat(before, F.array(F.concat(F.lit(marker), "line")), F.slice("all", F.col("line_no") + 2, reach)), "\n").alias("context"))
+    rows = docs.select(id_col, split.alias("all"))
+
+    def around(i: Column) -> Column:
+        start = F.greatest(i + 1 - reach, F.lit(1))
+        return F.array_join(F.concat(F.slice("all", start, i + 1 - start), F.array(F.concat(F.lit(marker), F.get("all", i))), F.slice("all", i + 2, reach)), "\n")
+
+    return rows.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("all") - 1), around)).alias("line_no", "context"))
 
 
 def pack_pieces(texts: pa.Array, cut, size: int) -> list:
@@ -129,20 +132,33 @@ def separator_chunks(text: Column, size: int = SIZE, overlap: int = 0, separator
 
 
 def paragraph_chunks(text: Column, size: int = SIZE, least_chars: int = 800) -> Column:
-    """Paragraphs packed up to ``size`` words; one that is longer is cut by characters in proportion, ``least_chars`` at least."""
+    """Paragraphs, between blank lines, stripped and packed up to ``size`` words, a blank line between them.
+
+    One that is longer is cut by characters in proportion, ``least_chars`` at least; its
+    parts are chunks of their own, stripped. A text without words has no chunk.
+    """
+    import re
+
+    between = re.compile(r"\n\s*\n")
 
     def cut(text: str):
-        for paragraph in text.split("\n\n"):
+        held, size_held = [], 0
+        for paragraph in filter(None, map(str.strip, between.split(text.strip()))):
             n = _count(paragraph)
-            if not n:
-                continue
-            width = len(paragraph) if n <= size else max(least_chars, len(paragraph) * size // n)
-            for k in range(0, len(paragraph), width):
-                part = paragraph[k : k + width]
-                yield part + "\n\n" * (k + width >= len(paragraph)), _count(part)
+            if held and (n > size or size_held + n > size):
+                yield "\n\n".join(held), size_held
+                held, size_held = [], 0
+            if n > size:
+                width = max(least_chars, int(len(paragraph) * (size / n)))
+                for part in filter(None, (paragraph[k : k + width].strip() for k in range(0, len(paragraph), width))):
+                    yield part, _count(part)
+            else:
+                held, size_held = [*held, paragraph], size_held + n
+        if held:
+            yield "\n\n".join(held), size_held
 
     @F.arrow_udf("array<struct<piece:string,tokens:int>>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(pack_pieces(texts, cut, size), pa.list_(pa.struct([("piece", pa.string()), ("tokens", pa.int32())])))
+        return pa.array([[{"piece": p, "tokens": n} for p, n in cut(t or "")] for t in texts.to_pylist()], pa.list_(pa.struct([("piece", pa.string()), ("tokens", pa.int32())])))
 
     return run(text)

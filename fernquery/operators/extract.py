@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernquery.functions.text import BROKEN_DELIMITERS, is_number, normalise_field, split_markers, strip
+from fernquery.functions.text import BROKEN_DELIMITERS, PLACEHOLDER_TYPES, clean, is_number, normalise_field, split_markers, strip, unescape_each
 
 # The delimiters of the record format.
 TUPLE, RECORD, COMPLETE = "<|>", "##", "<|COMPLETE|>"
@@ -19,7 +19,13 @@ def records(replies: DataFrame, reply_col: str = "response", key_col: str = "sou
     """M1: ``(key, ord, fields)``: what stands in the first parentheses of each record, on one line, cut at the delimiter, blanks dropped."""
     rows = replies.select(key_col, F.posexplode(split_markers(F.coalesce(F.col(reply_col), F.lit("")), [RECORD, COMPLETE])).alias("ord", "r"))
     inner = F.regexp_extract("r", r"(?d)\((.*)\)", 1)
-    return rows.select(key_col, "ord", inner.alias("inner")).filter("inner <> ''").select(key_col, "ord", split_markers(F.col("inner"), [TUPLE]).alias("fields")).withColumn("clean", F.transform("fields", lambda x: normalise_field(x)))
+    return rows.select(key_col, "ord", inner.alias("inner")).filter("inner <> ''").select(key_col, "ord", split_markers(F.col("inner"), [TUPLE]).alias("fields")).withColumn("clean", normalised_fields(F.col("fields")))
+
+
+def normalised_fields(fields: Column) -> Column:
+    """X4 for each of an array's texts; entities are resolved before and after, as for a single text."""
+    once = F.transform(unescape_each(fields), lambda x: normalise_field(x, entities=False))
+    return F.transform(unescape_each(once), lambda x: clean(x, entities=False))
 
 
 def _field(n: int) -> Column:
@@ -36,7 +42,7 @@ def entities(parsed: DataFrame, key_col: str = "source_id") -> DataFrame:
     kind, told = F.lit("unknown"), F.col("third")
     for mark in reversed(BROKEN_DELIMITERS):
         at = F.locate(mark, F.col("third"))
-        left, right = normalise_field(F.col("third").substr(F.lit(1), at - 1)), normalise_field(F.col("third").substr(at + len(mark), F.length("third")))
+        left, right = normalise_field(F.col("third").substr(F.lit(1), at - 1), entities=False), normalise_field(F.col("third").substr(at + len(mark), F.length("third")), entities=False)
         found = (at > 0) & (left != "") & (right != "")
         kind, told = F.when(found, F.lower(left)).otherwise(kind), F.when(found, right).otherwise(told)
     whole = F.col("fourth").isNotNull()
@@ -57,13 +63,11 @@ def parse_failed(reply: Column, n_parsed: Column) -> Column:
     signs = F.lit(False)
     for s in ("```", "{", "[", "entity", "relationship"):
         signs = signs | F.contains(low, F.lit(s))
-    return (n_parsed == 0) & ((strip(low) == "") | signs | (F.contains(low, F.lit(TUPLE)) & F.contains(low, F.lit("("))))
+    return (n_parsed == 0) & ((strip(low) == "") | signs | (F.contains(low, F.lit(TUPLE)) & (F.contains(low, F.lit("(")) | F.contains(low, F.lit(")")))))
 
 
 def flag_missing(found: DataFrame, section: Column) -> DataFrame:
     """entities without a section are set apart by ``quarantined``, those without a type by ``untyped``, instead of stopping the run."""
-    from fernquery.functions.text import PLACEHOLDER_TYPES
-
     return found.withColumns({"untyped": F.lower(strip("entity_type")).isin(*PLACEHOLDER_TYPES), "quarantined": F.coalesce(strip(section), F.lit("")) == ""})
 
 
@@ -92,20 +96,25 @@ def complete_all(prompts: DataFrame, make: Callable[[], Callable[[list[str]], li
 
 
 def glean_all(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], rounds: int, more: str, check: str, *, key_col: str = "source_id", prompt_col: str = "prompt") -> DataFrame:
-    """M6: the first reply and up to ``rounds`` continuations, as long as the model says yes to ``check``."""
+    """M6: the first reply and, as long as the model says yes to ``check``, up to ``rounds`` continuations. It is asked before each."""
 
     def run(batches):
         ask = make()
+
+        def wanted(history: str) -> bool:
+            return ask([history + "\n" + check])[0].strip().strip('"').strip("'").lower() == "yes"
+
         for b in batches:
             out = []
             for prompt in b[1].to_pylist():
-                history = prompt
-                text = ask([history])[0]
-                for n in range(rounds):
-                    history += "\n" + text + "\n" + more
-                    text += ask([history])[0]
-                    if n + 1 < rounds and ask([history + "\n" + check])[0].strip().strip("\"'").lower() != "yes":
+                text = ask([prompt])[0]
+                history = prompt + "\n" + text
+                for _ in range(rounds):
+                    if not wanted(history):
                         break
+                    reply = ask([history + "\n" + more])[0]
+                    history += "\n" + more + "\n" + reply
+                    text += reply
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(b[0].to_pylist(), pa.string()), pa.array(out, pa.string())], names=["key", "response"])
 

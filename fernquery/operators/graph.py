@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernquery.functions.text import PLACEHOLDER_TYPES, entity_type, graph_level, level_id, strip
+from fernquery.functions.text import PLACEHOLDER_DESCRIPTIONS, PLACEHOLDER_TYPES, entity_type, graph_level, level_id, strip
 from fernquery.operators.ranking import top_k
 from fernquery.sources.scratch import stored
 
@@ -26,9 +26,10 @@ def merge_nodes(facts: DataFrame) -> DataFrame:
 
 
 def merge_edges(facts: DataFrame) -> DataFrame:
-    """A2: one edge per pair of ends and level; weights add up over the facts, so a replay of the same facts adds nothing."""
+    """A2: one edge per pair of ends and level; weights add up over the facts, so a replay of the same facts adds nothing; of facts that disagree about one place the smallest counts."""
     a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    rows = facts.select(a.alias("src"), b.alias("dst"), "level", "weight", "ord", "description", "source_id").dropDuplicates(["src", "dst", "level", "source_id", "ord"])
+    rows = facts.select(a.alias("src"), b.alias("dst"), "level", "source_id", "ord", F.struct("weight", "description").alias("said"))
+    rows = rows.groupBy("src", "dst", "level", "source_id", "ord").agg(F.min("said").alias("said")).select("src", "dst", "level", "source_id", "ord", "said.*")
     out = rows.groupBy("src", "dst", "level").agg(F.sum("weight").alias("weight"), F.min("ord").alias("ord"), _set("description").alias("descriptions"), _set("source_id").alias("source_ids"))
     return out.withColumns({"src_node_id": level_id(F.col("src"), F.col("level")), "dst_node_id": level_id(F.col("dst"), F.col("level"))})
 
@@ -87,8 +88,8 @@ def keyword_candidates(nodes: DataFrame, keywords: DataFrame, k: int) -> DataFra
 
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Sources of nodes with a placeholder type or description, and of edges with an end that no node has."""
-    blank = lambda c: F.forall(c, lambda x: F.lower(strip(x)).isin(*PLACEHOLDER_TYPES))
-    bad = nodes.filter(blank("entity_types") | blank("descriptions")).select(F.explode("source_ids").alias("source_id"), F.lit("node").alias("reason"))
+    blank = lambda c, words: F.forall(c, lambda x: F.lower(strip(x)).isin(*words))
+    bad = nodes.filter(blank("entity_types", PLACEHOLDER_TYPES) | blank("descriptions", PLACEHOLDER_DESCRIPTIONS)).select(F.explode("source_ids").alias("source_id"), F.lit("node").alias("reason"))
     ends = edges.select(F.explode(F.array("src_node_id", "dst_node_id")).alias("node_id"), "source_ids")
     loose = ends.join(nodes.select("node_id"), "node_id", "left_anti").select(F.explode("source_ids").alias("source_id"), F.lit("edge").alias("reason"))
     return bad.unionByName(loose).filter(F.startswith("source_id", F.lit("chunk-"))).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fernquery.functions.text import squeezed, strip, structure_key
 from fernquery.operators.ranking import top_k
@@ -100,12 +101,12 @@ def page_groups(pages: DataFrame, most: int, overlap: int = 1, by: str = "doc_id
         if total <= most:
             return [list(range(len(sizes)))]
         parts = -(-total // most)
-        target = -(-(total // parts + most) // 2)
+        target = -(-(total + most * parts) // (2 * parts))  # half-way between the mean and the most, rounded up
         out, held, size = [], [], 0
         for i, n in enumerate(sizes):
             if held and size + n > target:
                 out.append(held)
-                held = held[-overlap:] if overlap else []
+                held = list(range(max(i - overlap, 0), i))
                 size = sum(sizes[j] for j in held)
             held = [*held, i]
             size += n
@@ -126,13 +127,27 @@ def accuracy(checks: DataFrame, by: str) -> DataFrame:
 
 
 def outline_numbers(items: DataFrame, by: str = "doc_id", order: str = "ord", level: str = "level") -> DataFrame:
-    """Dotted numbers from outline levels: a counter per level, deeper counters begin again."""
-    w = Window.partitionBy(by).orderBy(order)
-    rows, counters = items, []
-    for k in range(1, 7):
-        reset = F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(w)
-        rows = rows.withColumn(f"_r{k}", reset)
-        rows = rows.withColumn(f"_c{k}", F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(Window.partitionBy(by, f"_r{k}").orderBy(order)))
-        counters.append(F.when(F.col(level) >= k, F.col(f"_c{k}")))
-    number = F.array_join(F.array_compact(F.array(*counters)), ".")
-    return rows.withColumn("structure", number).drop(*[f"_{c}{k}" for c in "rc" for k in range(1, 7)])
+    """Dotted numbers from outline levels, however deep: a counter per level, deeper counters begin again.
+
+    A pass over one document's items in order; a level that was skipped counts 0. Items
+    without a level, or of level 0 or less, have no number and count nothing.
+    """
+    where = [items.columns.index(c) for c in (by, level)]
+
+    def run(batches):
+        current, counters = object(), []
+        for b in batches:
+            out = []
+            for doc, n in zip(b[where[0]].to_pylist(), b[where[1]].to_pylist()):
+                if doc != current:
+                    current, counters = doc, []
+                if n is None or n < 1:
+                    out.append(None)
+                    continue
+                counters = counters[:n] + [0] * (n - len(counters))
+                counters[-1] += 1
+                out.append(".".join(map(str, counters)))
+            yield b.append_column("structure", pa.array(out, pa.string()))
+
+    schema = StructType([*items.schema.fields, StructField("structure", StringType())])
+    return items.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)

@@ -63,7 +63,7 @@ def parse_relations(spark, sf):
     "parse_errors",
     rf"""WITH {_PARSED}, n AS (SELECT source_id, count(*) AS n FROM f WHERE lower({_norm("v[1]")}) IN ('entity', 'relationship') GROUP BY source_id)
     SELECT source_id, coalesce(n, 0) AS n_parsed,
-      coalesce(n, 0) = 0 AND (trim(response) = '' OR regexp_matches(lower(response), '```|\{{|\[|entity|relationship') OR (contains(response, '<|>') AND contains(response, '('))) AS failed
+      coalesce(n, 0) = 0 AND (trim(response) = '' OR regexp_matches(lower(response), '```|\{{|\[|entity|relationship') OR (contains(response, '<|>') AND (contains(response, '(') OR contains(response, ')')))) AS failed
     FROM resp LEFT JOIN n USING (source_id)""",
 )
 def parse_errors(spark, sf):
@@ -99,7 +99,10 @@ def _echo():
     return ask
 
 
-@query("extract_with_retry")
+@query(
+    "extract_with_retry",
+    r"""SELECT CAST(item_id AS VARCHAR) AS source_id, 0 AS ord, concat('N', len(regexp_extract_all(text, '\S+'))) AS entity_name, 'count' AS entity_type, 'words' AS description, CAST(1 + length(text) % 2 AS INTEGER) AS tries FROM benchmark""",
+)
 def extract_with_retry(spark, sf):
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("source_id"), F.col("text").alias("prompt"))
     done = extract.complete_all(prompts, _echo, accept=lambda r: "(" in r)
@@ -117,7 +120,7 @@ def field_normalise(spark, sf):
 
 @query("html_clean", r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '^\s+|\s+$', '', 'g'), '[\x00-\x1F\x7F-\x{9F}]', '', 'g')) AS clean_md5 FROM pages")
 def html_clean(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(X.clean(F.col("html"))).alias("clean_md5"))
+    return table(spark, sf, "pages").select("page_id", F.md5(X.clean(F.col("html"), entities=False)).alias("clean_md5"))
 
 
 @query("html_unescape")

@@ -107,7 +107,14 @@ def nearest_parent(spark, sf):
     return tree.parents_by_level(_items(spark, sf).select("doc_id", "ord", (F.col("l_partkey") % 3 + 1).alias("level")))
 
 
-@query("outline_numbers")
+@query(
+    "outline_numbers",
+    f"""WITH {_ITEMS}, i AS (SELECT doc_id, ord, CAST(l_partkey % 3 + 1 AS INTEGER) AS level FROM li),
+    r AS (SELECT *, sum(CAST(level < 2 AS INTEGER)) OVER w AS r2, sum(CAST(level < 3 AS INTEGER)) OVER w AS r3 FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+    c AS (SELECT *, sum(CAST(level = 1 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY ord) AS c1, sum(CAST(level = 2 AS INTEGER)) OVER (PARTITION BY doc_id, r2 ORDER BY ord) AS c2,
+      sum(CAST(level = 3 AS INTEGER)) OVER (PARTITION BY doc_id, r3 ORDER BY ord) AS c3 FROM r)
+    SELECT doc_id, ord, level, CASE level WHEN 1 THEN concat(c1) WHEN 2 THEN concat(c1, '.', c2) ELSE concat(c1, '.', c2, '.', c3) END AS structure FROM c""",
+)
 def outline_numbers(spark, sf):
     return toc.outline_numbers(_items(spark, sf).select("doc_id", "ord", (F.col("l_partkey") % 3 + 1).cast("int").alias("level")))
 
@@ -218,7 +225,17 @@ def title_assignment(spark, sf):
     return toc.assign_in_order(rows, "doc_id")
 
 
-@query("page_groups")
+@query(
+    "page_groups",
+    r"""WITH RECURSIVE p AS (SELECT conv_id AS doc, turn + 1 AS page_no, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    t AS (SELECT doc, sum(n) AS total, CAST(ceil((sum(n) / ceil(sum(n) / 300.0) + 300) / 2) AS BIGINT) AS target FROM p GROUP BY doc),
+    g AS (
+      SELECT doc, i, n, 0 AS group_no, n AS size, total, target FROM p JOIN t USING (doc) WHERE i = 1
+      UNION ALL SELECT p.doc, p.i, p.n, CASE WHEN total > 300 AND size + p.n > target THEN group_no + 1 ELSE group_no END, CASE WHEN total > 300 AND size + p.n > target THEN g.n + p.n ELSE size + p.n END, total, target
+      FROM g JOIN p ON p.doc = g.doc AND p.i = g.i + 1),
+    e AS (SELECT doc, i, group_no FROM g UNION ALL SELECT a.doc, a.i, b.group_no FROM g a JOIN g b ON a.doc = b.doc AND b.i = a.i + 1 AND b.group_no = a.group_no + 1)
+    SELECT CAST(doc AS VARCHAR) AS doc, CAST(page_no AS BIGINT) AS page_no, CAST(group_no AS BIGINT) AS group_no FROM e JOIN p USING (doc, i)""",
+)
 def page_groups(spark, sf):
     pages = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), F.size(chunk.tokens(F.col("text"))).alias("tokens"))
     return toc.page_groups(pages, 300)
@@ -229,8 +246,9 @@ def toc_accuracy(spark, sf):
     return toc.accuracy(_lines(spark, sf).select("doc_id", F.when(F.col("l_returnflag") == "N", "yes").otherwise("no").alias("answer")), "doc_id")
 
 
-@query("dot_leaders", r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(substr(text, 1, 300), ' ', '.'), '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g')) AS text_md5 FROM documents")
+@query("dot_leaders", r"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, ' ', '.'), '\.{5,}', ': ', 'g'), '(?:\. ){5,}\.?', ': ', 'g')) AS text_md5 FROM documents")
 def dot_leaders(spark, sf):
+    """X28 over whole texts; their blanks are made dots, so that there are leaders."""
     from fernquery.functions.text import dot_leaders as leaders
 
-    return table(spark, sf, "documents").select("doc_id", F.md5(leaders(F.translate(F.substring("text", 1, 300), " ", "."))).alias("text_md5"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(leaders(F.translate("text", " ", "."))).alias("text_md5"))

@@ -39,7 +39,8 @@ def test_numbers_and_pages(spark):
     assert values(spark, ['["a", " b "]', "plain", "", None], X.section_list) == [["a", "b"], ["plain"], [], []]
     assert values(spark, ["12", 'a "b"', "'c'"], X.enclosed) == ["12", '"a "b"', "\"'c'\""]
     assert values(spark, ["Intro.......... 5", "A. . . . . . 3"], X.dot_leaders) == ["Intro:  5", "A: 3"]
-    assert values(spark, ["12. Title here\nmore", "—"], X.chunk_title) == ["Title here", ""]
+    assert values(spark, ["12. Title here\nmore", "—"], X.chunk_title) == ["Title here", "Section Chunk"]
+    assert values(spark, ["  ", None, "—\nmore", "9. É x"], X.chunk_title) == ["Section Chunk", "Section Chunk", "Section Chunk", "É x"]
 
 
 def test_json_salvage():
@@ -101,6 +102,39 @@ def test_gleaning(spark):
     make = lambda: lambda prompts: ["yes" if p.endswith("more?") else f"[{len(p)}]" for p in prompts]
     got = extract.glean_all(spark.createDataFrame([("a", "p")], "source_id string, prompt string"), make, 2, "go on", "more?").first()
     assert got["response"].count("[") == 3
+    none = lambda: lambda prompts: ["no" if p.endswith("more?") else f"[{len(p)}]" for p in prompts]
+    got = extract.glean_all(spark.createDataFrame([("a", "p")], "source_id string, prompt string"), none, 2, "go on", "more?").first()
+    assert got["response"].count("[") == 1  # it is asked before the first continuation
+
+
+def test_fields_are_unescaped(spark):
+    reply = '("entity"<|>AT&amp;T<|>org<|>a &quot;firm&quot;)##("entity"<|>AT&T<|>org<|>x &amp;amp; y)'
+    got = extract.entities(extract.records(spark.createDataFrame([("c", reply)], "source_id string, response string"))).orderBy("ord").collect()
+    assert [(r["entity_name"], r["description"]) for r in got] == [("AT&T", 'a "firm'), ("AT&T", "x & y")]
+
+
+def test_reply_with_a_closing_bracket_alone_has_failed(spark):
+    frame = spark.createDataFrame([("a <|> b)",), ("a <|> b",), ("plain",)], "r string")
+    assert [x[0] for x in frame.select(extract.parse_failed(F.col("r"), F.lit(0))).collect()] == [True, False, False]
+
+
+def test_relation_pairs(spark):
+    got = values(spark, ["a → b => c\nx->y； -> z;k-l", None, "=>"], X.relation_pairs)
+    assert [[tuple(p) for p in r] for r in got] == [[("a", "b => c"), ("x", "y"), ("k", "l")], [], []]
+
+
+def test_types_and_descriptions_have_their_own_placeholders(spark):
+    nodes = spark.createDataFrame([("a", ["org"], ["na"], ["chunk-1"]), ("b", ["unk"], ["told"], ["chunk-2"]), ("c", ["org"], ["N/A"], ["chunk-3"])], "node_id string, entity_types array<string>, descriptions array<string>, source_ids array<string>")
+    edges = spark.createDataFrame([], "src_node_id string, dst_node_id string, source_ids array<string>")
+    assert sorted(r["source_id"] for r in graph.integrity(nodes, edges).collect()) == ["chunk-2", "chunk-3"]
+
+
+def test_paragraphs(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    text = f"  one two\n \nthree\n\n{long}\n\nlast words "
+    got = [(c["piece"], c["tokens"]) for c in values(spark, [text], lambda x: chunk.paragraph_chunks(x, 100))[0]]
+    assert got[0] == ("one two\n\nthree", 3) and got[-1] == ("last words", 2)
+    assert all(p == p.strip() for p, _ in got) and "".join(p.replace(" ", "") for p, _ in got[1:-1]) == long.replace(" ", "")
 
 
 @pytest.fixture(scope="module")
@@ -150,12 +184,16 @@ def test_toc(spark):
             toc.page_range(bad, 9)
     items = spark.createDataFrame([(1, i, n) for i, n in enumerate([1, 2, 2, 1, 2, 3, 1])], "doc_id int, ord int, level int")
     assert [r["structure"] for r in toc.outline_numbers(items).orderBy("ord").collect()] == ["1", "1.1", "1.2", "2", "2.1", "2.1.1", "3"]
+    deep = spark.createDataFrame([(1, i, n) for i, n in enumerate([1, 8, 8, None, 2])], "doc_id int, ord int, level int")
+    assert [r["structure"] for r in toc.outline_numbers(deep).orderBy("ord").collect()] == ["1", "1.0.0.0.0.0.0.1", "1.0.0.0.0.0.0.2", None, "1.1"]
     candidates = spark.createDataFrame([("d", 0, "a", [5, 2], [False, True]), ("d", 1, "b", [1, 4], [True, False]), ("d", 2, "c", [3], [True])], "doc string, ord int, title string, lines array<int>, verified array<boolean>")
     assert [r["line_no"] for r in toc.assign_in_order(candidates, "doc").orderBy("ord").collect()] == [2, 4, None]
     pages = spark.createDataFrame([(1, i, 60) for i in range(1, 7)], "doc_id int, page_no int, tokens int")
     groups = {}
     for r in toc.page_groups(pages, 130).collect():
         groups.setdefault(r["group_no"], []).append(r["page_no"])
+    uneven = spark.createDataFrame([(2, i, n) for i, n in enumerate([276, 1, 275, 275, 174])], "doc_id int, page_no int, tokens int")  # 1001 in all: 276 to a group
+    assert sorted((r["group_no"], r["page_no"]) for r in toc.page_groups(uneven, 300, overlap=0).collect()) == [(0, 0), (1, 1), (1, 2), (2, 3), (3, 4)]
     assert all(groups.values()) and {p for g in groups.values() for p in g} == set(range(1, 7))
 
 
