@@ -155,7 +155,12 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 5) -> Mod
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Word vectors from all documents; the network from at most ``max_rows`` labelled texts of each class, those for which ``train`` (a column of labels) holds."""
+    """Word vectors from all documents; the network from at most ``max_rows`` labelled texts of each class, those for which ``train`` (a column of labels) holds.
+
+    Rows of labels with a null id or label are left out; an id that is labelled twice counts once, with the
+    larger label; every row of ``docs`` with a labelled id is learnt from, a null text as one without words.
+    Without labels, or with empty tables, all texts score alike: see ``fit``.
+    """
     vectors = context_vectors(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

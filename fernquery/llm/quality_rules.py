@@ -160,6 +160,6 @@ def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     part = F.xxhash64(docs[text_col], docs[text_col].isNull(), docs[host_col], docs[host_col].isNull())
     kept = docs.join(bad, docs[id_col].eqNullSafe(bad["b_id"]) & (part == bad["b_part"]), "left_anti")
     cut = lost.select(F.col("c_id").alias("_c_id"), F.col("c_part").alias("_c_part"), F.col("gone").alias("_gone"))
-    kept = kept.join(cut, kept[id_col].eqNullSafe(cut["_c_id"]) & (part == cut["_c_part"]), "left")
-    text = without_lines(F.col(host_col), F.col(text_col), F.col("_gone")).alias(text_col)
-    return stored(kept.select(*(text if c == text_col else F.col(c) for c in docs.columns)), "kept_documents")
+    kept = kept.join(cut, docs[id_col].eqNullSafe(cut["_c_id"]) & (part == cut["_c_part"]), "left")
+    text = without_lines(docs[host_col], docs[text_col], cut["_gone"]).alias(text_col)
+    return stored(kept.select(*(text if c == text_col else docs[c] for c in docs.columns)), "kept_documents")

@@ -219,8 +219,8 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if marks.count() <= MAX_COMPARED:
         marks = F.broadcast(marks)
     part = F.xxhash64(docs[text_col], docs[text_col].isNull())
-    left = docs.join(marks, docs[id_col].eqNullSafe(F.col("_m_id")) & (part == F.col("_m_part")), "left")
-    plain = left.filter("_gone is null").select(*docs.columns)
-    whole = F.struct(*docs.columns)
-    one = left.filter("not _gone").groupBy("_m_id", "_m_part").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
-    return plain.unionByName(one)
+    left = docs.join(marks, docs[id_col].eqNullSafe(marks["_m_id"]) & (part == marks["_m_part"]), "left")
+    columns = [docs[c] for c in docs.columns]
+    repeated = left.filter(~marks["_gone"]).select(marks["_m_id"].alias("id"), marks["_m_part"].alias("part"), F.struct(*columns).alias("row"))
+    one = repeated.groupBy("id", "part").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return left.filter(marks["_gone"].isNull()).select(*columns).unionByName(one)

@@ -8,6 +8,8 @@ nothing weigh nothing. The two classes weigh the same, whatever their shares.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,10 @@ from fernquery.llm.learn import labelled_sample, minimise, sigmoid
 #: texts that must hold a feature, smoothing of the counts, and weight of the penalty.
 ORDERS, BITS, MAX_ROWS, MIN_TEXTS, SMOOTH, PENALTY = (3, 4, 5, 6), 20, 3000, 4, 1.0, 0.3
 
+#: Characters of a text that are looked at together, about.
+_WINDOW = 1 << 17
+_GAP = re.compile(r"\s")
+
 
 @dataclass
 class Model:
@@ -30,18 +36,43 @@ class Model:
     bits: int = BITS
 
 
-def ngrams(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.ndarray:
-    """Table places of all n-grams of a text, repeats included. White space is one space; texts begin and end with one."""
-    codes = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out, h = [], codes * np.uint32(0x9E3779B1)
-    for n in range(2, max(orders) + 1):
-        if len(codes) < n:
-            break
-        h = h[:-1] * np.uint32(0x85EBCA6B) + codes[n - 1 :] * np.uint32(0x9E3779B1)
-        if n in orders:
-            mix = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-            out.append((mix ^ (mix >> np.uint32(13))) >> np.uint32(32 - bits))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+def _codes(text: str, carried: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Character codes of a text, some at a time, and how many of them were there before: the last ``carried``.
+
+    White space is one space; texts begin and end with one. Texts are cut at white space, so
+    a long one takes no more room at a time than a short one.
+    """
+    held, at = np.array([32], np.uint32), 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _WINDOW)
+        stop = gap.start() if gap else len(text)
+        words, at = text[at:stop].lower().split(), stop
+        if words:
+            new = np.frombuffer((" ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            yield np.concatenate([held, new]), len(held)
+            held = np.concatenate([held, new[-carried:]])[-carried:]
+
+
+def ngrams(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Iterator[np.ndarray]:
+    """Table places of all n-grams of a text, repeats included, some at a time."""
+    for codes, before in _codes(text, max(orders) - 1):
+        out, h = [], codes * np.uint32(0x9E3779B1)
+        for n in range(2, max(orders) + 1):
+            if len(codes) < n:
+                break
+            h = h[:-1] * np.uint32(0x85EBCA6B) + codes[n - 1 :] * np.uint32(0x9E3779B1)
+            if n in orders:
+                new = h[max(0, before - n + 1) :]
+                mix = (new ^ (new >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+                out.append((mix ^ (mix >> np.uint32(13))) >> np.uint32(32 - bits))
+        if out:
+            yield np.concatenate(out)
+
+
+def features(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.ndarray:
+    """Sorted distinct table places of a text's n-grams."""
+    parts = [np.unique(p) for p in ngrams(text, orders, bits)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
@@ -52,7 +83,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         return Model(weights, -40.0)
     if positive in (0, len(labels)):
         return Model(weights, float(np.log((positive + 0.5) / (len(labels) - positive + 0.5))))
-    sets = [np.unique(ngrams(t)).astype(np.int32) for t in texts]
+    sets = [features(t).astype(np.int32) for t in texts]
     held, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for s, y in zip(sets, labels):
         held[s] += 1
@@ -98,10 +129,14 @@ def score_all(docs: DataFrame, model: Model, text_col: str = "text"):
         m, out = shared.value, []
         seen = np.zeros(1 << m.bits, dtype=bool)
         for t in texts:
-            places = ngrams(t.as_py() or "", m.orders, m.bits)
-            seen[places] = True
-            own = np.flatnonzero(seen) if len(places) > 1 << 13 else np.unique(places)
-            seen[places] = False
+            text = t.as_py() or ""
+            if len(text) <= 1 << 11:
+                own = features(text, m.orders, m.bits)
+            else:
+                for places in ngrams(text, m.orders, m.bits):
+                    seen[places] = True
+                own = np.flatnonzero(seen)
+                seen[own] = False
             out.append(m.bias + float(m.weights[own].sum(dtype=np.float64)))
         return pa.array(sigmoid(np.array(out, dtype=np.float64)))
 
@@ -109,6 +144,11 @@ def score_all(docs: DataFrame, model: Model, text_col: str = "text"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled texts of each class, those for which ``train`` (a column of labels) holds."""
+    """Fit on at most ``max_rows`` labelled texts of each class, those for which ``train`` (a column of labels) holds.
+
+    Rows of labels with a null id or label are left out; an id that is labelled twice counts once, with the
+    larger label; every row of ``docs`` with a labelled id is learnt from, a null text as an empty one.
+    Without labels, or with empty tables, all texts score alike: see ``fit``.
+    """
     texts, y = labelled_sample(docs, labels.filter(train), id_col, text_col, label_col, max_rows)
     return fit(texts, y)

@@ -17,7 +17,7 @@ from fernquery.llm.common import ascii_lower, stored
 
 #: Fixed value: the item that stands for a blocked label.
 BLOCKED = "label=block"
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TERMS = 0.004, 0.7, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.004, 0.7
 #: Entries of the index up to which it is broadcast.
 MAX_INDEX = 500_000
 
@@ -41,11 +41,11 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_terms: int = MAX_TERMS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``(rule, terms)`` from ``labelled(items, blocked)``.
 
     A rule's terms occur together in at least ``min_support`` of the labelled URLs, and
-    at least ``min_confidence`` of the URLs with them are blocked. Without labelled
+    at least ``min_confidence`` of the URLs with them are blocked; rules have any number of terms. Without labelled
     URLs of either kind there are no rules.
     """
     spark = labelled.sparkSession
@@ -54,10 +54,14 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return spark.createDataFrame([], "rule long, terms array<string>")
     baskets = labelled.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCKED).filter(F.size("antecedent") <= max_terms)
+    found = model.associationRules.filter(F.get("consequent", F.lit(0)) == BLOCKED)
     found = stored(found.select(F.sort_array("antecedent").alias("terms")).withColumn("rule", F.xxhash64("terms")), "url_rules")
-    index = found.select("rule", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    inside = index.alias("a").join(index.alias("b"), "term").filter("a.n < b.n").groupBy(F.col("a.rule").alias("short"), F.col("a.n").alias("n"), F.col("b.rule").alias("rule")).count().filter("count = n").select("rule").distinct()
+    # A rule that holds a shorter one says nothing more. The shorter is looked up by its rarest term alone.
+    index = found.select("rule", "terms", F.explode("terms").alias("term"))
+    often = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = index.join(often, "term").groupBy(F.col("rule").alias("short")).agg(F.min(F.struct("n", "term"))["term"].alias("term"), F.first("terms").alias("part"))
+    longer = (F.size("part") < F.size("terms")) & (F.size(F.array_except("part", "terms")) == 0)
+    inside = index.join(rarest, "term").filter(longer).select("rule").distinct()
     return found.join(inside, "rule", "left_anti")
 
 

@@ -450,3 +450,46 @@ def test_common_lines_are_cut(spark):
     cut = lambda i: f"{own(i)}\n\nlast {i}"
     want = [(i, cut(i), "h") for i in range(30)] + [(0, cut(0), "h"), (None, cut(1), "h"), (50, texts[0][1], "other"), (51, own(51), "h")]
     assert rows(kept, "doc_id", "text", "source") == sorted(want, key=repr)
+
+
+# --- checks against brute force
+
+
+def test_mined_rules_equal_brute_force(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(11)
+    baskets = []
+    for i in range(90):
+        items = {f"t{j}" for j in range(7) if rng.random() < 0.55}
+        if i % 3 == 0:
+            items = {"u0", "u1", "u2", "u3", "u4"} - ({f"u{i // 3 % 5}"} if i % 12 else set())
+        baskets.append((sorted(items), bool(len({"u0", "u1", "u2", "u3", "u4"} & items) == 5 or {"t1", "t4"} <= items and rng.random() < 0.9)))
+    got = url_rules.mine(spark.createDataFrame(baskets, "items array<string>, blocked boolean"), 0.05, 0.7).collect()
+    terms = sorted({t for items, _ in baskets for t in items})
+    rules = []
+    for n in range(1, 8):
+        for c in combinations(terms, n):
+            held = [y for items, y in baskets if set(c) <= set(items)]
+            if held and sum(held) >= 0.05 * len(baskets) and sum(held) / len(held) >= 0.7 and not any(set(r) <= set(c) for r in rules):
+                rules.append(c)
+    assert sorted(tuple(r["terms"]) for r in got) == sorted(rules)
+    assert max(map(len, rules)) >= 5
+
+
+def test_ngrams_do_not_depend_on_windows(monkeypatch):
+    text = "  Some  text with\u00a0odd\tspaces, É and ẞ ΣΑΣ " * 30 + "x" * 400 + " end"
+    whole = np.sort(np.concatenate(list(toxicity.ngrams(text))))
+    plain = " " + " ".join(text.lower().split()) + " "
+    assert len(whole) == sum(len(plain) - n + 1 for n in toxicity.ORDERS)
+    monkeypatch.setattr(toxicity, "_WINDOW", 37)
+    assert (np.sort(np.concatenate(list(toxicity.ngrams(text)))) == whole).all()
+    assert (toxicity.features(text) == np.unique(whole)).all() and len(toxicity.features("")) == 0
+
+
+def test_prints_do_not_depend_on_windows(monkeypatch):
+    text = b" a b\tc d e\nf g " * 50 + b"long" * 40
+    whole = simhash.simhash(text), [g for part in simhash._grams(text, 3) for g in part]
+    monkeypatch.setattr(simhash, "_WINDOW", 5)
+    assert (simhash.simhash(text), [g for part in simhash._grams(text, 3) for g in part]) == whole
+    assert simhash._grams(b"a", 3) and list(simhash._grams(b" a  b ", 3)) == [[b"a b"]] and list(simhash._grams(b"  ", 3)) == []
