@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernquery.functions.text import PLACEHOLDER_DESCRIPTIONS, PLACEHOLDER_TYPES, entity_type, graph_level, level_id, strip
+from fernquery.functions.text import PLACEHOLDER_DESCRIPTIONS, PLACEHOLDER_TYPES, entity_type, graph_level, level_id, strip, unescape_html
 from fernquery.operators.ranking import top_k
 from fernquery.sources.scratch import stored
 
@@ -117,8 +117,8 @@ def neighbour_chunks(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> Da
     return own.join(counts, ["node_id", "chunk_id"], "left").select("node_id", "chunk_id", F.coalesce("n_sharing", F.lit(0)).alias("n_sharing"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 12) -> DataFrame:
-    """``(head, tail, hops, path)`` for the pairs that are joined by at most ``most`` edges.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """``(head, tail, hops, path)`` for the pairs that are joined, by at most ``most`` edges where that is given.
 
     All heads advance together, one join per hop; a node once reached is not entered
     again for the same head. Of equally short paths the smallest, read as a list, is
@@ -168,6 +168,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = following
 
 
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The nodes of the largest component, of equally large ones that with the smallest node: ``(node_id, label)``, the label in upper case."""
+    labels = connected_components(edges)
+    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    best = sizes.orderBy(F.desc("n"), "root").limit(1).select("root")
+    return labels.join(F.broadcast(best), "root").select("node_id", unescape_html(strip(F.upper("node_id"))).alias("label"))
+
+
 def stable_order(edges: DataFrame) -> DataFrame:
     """Edges with their ends in order, sorted."""
     return edges.select(F.least("src_node_id", "dst_node_id").alias("a"), F.greatest("src_node_id", "dst_node_id").alias("b")).orderBy("a", "b")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,7 @@ def fill_summaries(sections: DataFrame, make: Complete) -> DataFrame:
     return done if done is not None else sections
 
 
-def traverse(sections: DataFrame, choose: Callable[[DataFrame, int], DataFrame], most: int = 16) -> DataFrame:
+def traverse(sections: DataFrame, choose: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """From the roots down, level by level, into the sections that ``choose(level, depth)`` selects.
 
     ``choose`` gets the level's sections and returns ``(doc_id, path, sufficient)`` of those to
@@ -144,7 +145,7 @@ def traverse(sections: DataFrame, choose: Callable[[DataFrame, int], DataFrame],
     """
     front = sections.filter("depth = 1")
     out = None
-    for depth in range(1, most + 1):
+    for depth in count(1):
         picked = stored(front.join(choose(front, depth), ["doc_id", "path"]), "picked")
         out = picked if out is None else out.unionByName(picked)
         on = picked.groupBy("doc_id").agg(F.bool_or("sufficient").alias("stop")).filter("not stop").select("doc_id")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +21,18 @@ def is_structured(content):
     return F.coalesce(F.size(F.try_variant_get(v, "$.structure", _CHILDREN)) > 0, F.lit(False))
 
 
-def flatten(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", most: int = 64) -> DataFrame:
+def flatten(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """G1: sections of structured documents: ``(id, node_id, parent_path, path, depth, ord, title, summary, text, n_children)``.
 
     Children are in ``nodes``, else in ``children``; what is no object is left out. A
     section without a node_id is known by its path, of numbers from 1. One pass per
-    level, each written before the next.
+    level, however deep, each written before the next.
     """
     text = lambda k: F.coalesce(F.try_variant_get("node", f"$.{k}", "string"), F.lit(""))
     parsed = docs.filter(is_structured(F.col(content_col))).select(id_col, F.try_parse_json(content_col).alias("v"))
     front = parsed.select(id_col, F.array().cast("array<int>").alias("up"), F.posexplode(F.try_variant_get("v", "$.structure", _CHILDREN)).alias("ord", "node"))
     out = None
-    for depth in range(1, most + 1):
+    for depth in count(1):
         under = F.coalesce(F.try_variant_get("node", "$.nodes", _CHILDREN), F.try_variant_get("node", "$.children", _CHILDREN))
         objects = F.filter(under, lambda c: F.startswith(F.schema_of_variant(c), F.lit("OBJECT")))
         level = front.filter(F.startswith(F.schema_of_variant("node"), F.lit("OBJECT"))).withColumn("path_array", F.array_append("up", F.col("ord") + 1))
@@ -114,3 +118,35 @@ def page_texts(items: DataFrame, pages: DataFrame, by: str = "doc_id", tagged: b
 def oversized(sections: DataFrame, pages: int, tokens: int) -> DataFrame:
     """Sections that span more pages and hold at least as many tokens as allowed."""
     return sections.filter((F.col("end_page") - F.col("page") + 1 > pages) & (F.col("tokens") >= tokens))
+
+
+def with_summary(sections: DataFrame) -> DataFrame:
+    """sections that have a summary."""
+    return sections.filter(strip(F.coalesce("summary", F.lit(""))) != "")
+
+
+def reshaped(content, remove: tuple[str, ...] = (), order: tuple[str, ...] = ()):
+    """a JSON tree without the fields of ``remove``, at any depth, and with those of ``order`` first, in that order.
+
+    What is no JSON stays as it is; null stays null.
+    """
+
+    def shaped(x):
+        if isinstance(x, list):
+            return [shaped(v) for v in x]
+        if not isinstance(x, dict):
+            return x
+        kept = {k: shaped(v) for k, v in x.items() if k not in remove}
+        return {k: kept[k] for k in (*(k for k in order if k in kept), *(k for k in kept if k not in order))}
+
+    def one(text):
+        try:
+            return json.dumps(shaped(json.loads(text)), ensure_ascii=False)
+        except ValueError:
+            return text
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
+
+    return run(content)

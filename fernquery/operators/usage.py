@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def facts(calls: DataFrame, stage: str, model: str, source: str, *, prompt_col: str = "prompt", reply_col: str = "response") -> DataFrame:
+    """A usage fact per model call, ``(stage, model, source, prompt_tokens, completion_tokens, total_tokens)``.
+
+    Numbers that the provider told, in columns of those names, are taken; else words are
+    counted. A null prompt or reply has none.
+    """
+    words = lambda c: F.size(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(r"\S+"), 0))
+    told = lambda name, counted: F.coalesce(F.col(name).cast("long"), counted.cast("long")) if name in calls.columns else counted.cast("long")
+    p, c = told("prompt_tokens", words(prompt_col)), told("completion_tokens", words(reply_col))
+    return calls.select(F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.lit(source).alias("source"), p.alias("prompt_tokens"), c.alias("completion_tokens"), told("total_tokens", p + c).alias("total_tokens"))
+
+
 def rollup(calls: DataFrame) -> DataFrame:
     """Sums of ``calls(stage, model, source, prompt_tokens, completion_tokens, total_tokens)`` per stage, stage and model, stage and source, and in all.
 

@@ -8,7 +8,7 @@ from fernquery.functions import json_salvage
 from fernquery.operators import graph, models, tree
 from fernquery.plans.graph import build
 from fernquery.plans.registry import query
-from fernquery.plans.trees import documents
+from fernquery.plans.trees import _TREE, documents
 from fernquery.sources import stores
 from fernquery.sources.scratch import fresh_path
 from fernquery.sources.tables import table
@@ -88,7 +88,7 @@ def tree_traversal(spark, sf):
     return models.traverse(sections, choose).select("doc_id", "path")
 
 
-@query("filled_summaries")
+@query("filled_summaries", rf"WITH {_TREE} SELECT doc_id, path, CASE WHEN summary <> '' THEN summary WHEN text <> '' THEN concat('summary of ', len(regexp_extract_all(text, '\S+')), ' words') ELSE '' END AS summary FROM s")
 def filled_summaries(spark, sf):
     """Sections without a summary get one from the bottom up."""
     return models.fill_summaries(tree.flatten(documents(spark, sf)), _counting).select("doc_id", "path", "summary")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernquery.functions import json_salvage
 from fernquery.functions import text as X
-from fernquery.operators import chunk, evidence, extract, graph, index, models, ranking, toc, tree
+from fernquery.operators import chunk, evidence, extract, graph, index, linking, models, ranking, toc, tree
 from fernquery.plans import boundary, trees
 from fernquery.sources import stores
 
@@ -245,3 +245,22 @@ def test_titles_come_from_all_lines(spark, whole_documents):
     path, texts = whole_documents
     got = {(r["doc"], r["title"]) for r in trees.title_assignment(spark, path).select(F.col("doc").cast("long"), "title").collect()}
     assert got == {(i, line) for i, t in texts.items() for line in t.split("\n")}
+
+
+def test_next_titles(spark):
+    lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(["Intro", "", "one", "Methods used", "Intro", "end"])], "doc_id string, line_no int, line string")
+    titles = spark.createDataFrame([("d", 0, "intro"), ("d", 1, " meth ods"), ("d", 2, "none"), ("d", 3, "INTRO 2"), ("e", 0, "x")], "doc_id string, ord int, title string")
+    got = linking.next_titles(titles, lines, "doc_id").orderBy("doc_id", "ord").collect()
+    assert [r["line_no"] for r in got] == [0, 3, None, 4, None]
+
+
+def test_reshaped_trees(spark):
+    text = '{"a": 1, "text": "x", "nodes": [{"title": "t", "text": "y", "id": 2}]}'
+    got = values(spark, [text, "no json", None], lambda x: tree.reshaped(x, remove=("text",), order=("nodes", "id")))
+    assert got == ['{"nodes": [{"id": 2, "title": "t"}], "a": 1}', "no json", None]
+
+
+def test_sparsity_of_a_single_member(spark):
+    frame = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (2, 2)], "layer int, cluster int")
+    got = linking.sparsity(frame).orderBy("layer").collect()
+    assert got[0]["sparsity"] is None and abs(got[1]["sparsity"] - (1 - 2 / 6)) < 1e-12
