@@ -586,8 +586,9 @@ def _smoothed(spark, model: Model, number: int, shards: list[Shard], jobs: list[
 def _cuts(model: Model, number: int, following: list[tuple[int, int]]) -> Cuts:
     """The cuts of the level above ``number``: contexts, and items for those that occur more often than SHARD."""
     context, item, rank, split = [], [], [], []
+    words = sum(s.entries for s in model.shards[1])
     for place, count in following:
-        start, successors = 0, model.words
+        start, successors = 0, words
         if count and number == 2:
             word = model.level2.items(place, place + 1)
             start, stop = model.level2.begin(np.concatenate([word, word + 1])).tolist()

@@ -162,4 +162,4 @@ def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cut = lost.select(F.col("c_id").alias("_c_id"), F.col("c_part").alias("_c_part"), F.col("gone").alias("_gone"))
     kept = kept.join(cut, docs[id_col].eqNullSafe(cut["_c_id"]) & (part == cut["_c_part"]), "left")
     text = without_lines(docs[host_col], docs[text_col], cut["_gone"]).alias(text_col)
-    return stored(kept.select(*(text if c == text_col else docs[c] for c in docs.columns)), "kept_documents")
+    return kept.select(*(text if c == text_col else docs[c] for c in docs.columns))

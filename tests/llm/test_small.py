@@ -394,7 +394,7 @@ def test_language_model_keeps_all_ngrams(spark, shard):
         w = [*x.split(), None]
         assert abs(got[k] - sum(math.log10(p(w, i)) for i in range(len(w)))) < 0.03 * len(w)
     cut = [len({(s.first) for s in model.shards[n]}) < len(model.shards[n]) for n in (2, 3)]
-    assert cut == [shard == 1, shard < 4]  # a context's successors are in several shards
+    assert cut == [shard < 4, shard < 4]  # a context's successors are in several shards
 
 
 def test_elias_fano():
