@@ -13,6 +13,10 @@ shingles. Only then are the pairs looked for that are left between components th
 are still apart, and of those only the ones whose parity signatures allow the similarity: a
 shingle that one set alone has flips one bit, so sets whose signatures differ in more bits than
 their sizes allow shingles to differ cannot be similar. No link between components is lost.
+
+Of the pairs that a round compares, too, those whose signatures do not allow the similarity
+are left out before whole sets are fetched. Long sets have a second, wider signature for that,
+as nearly every bit of the first is drawn at random there.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from fernquery.llm.common import components, drop_stored, stored
 SAMPLE, MAX_COMMON, LEAST_HELD = 20_000, 200_000, 3
 #: Texts in candidate pairs up to which they are broadcast.
 MAX_COMPARED = 500_000
-#: 64-bit words of a signature.
-SIGNATURE = 16
+#: 64-bit words of a signature, and of the second one of sets of more than LONG shingles.
+SIGNATURE, WIDE, LONG = 16, 256, 1024
 #: Of the pairs that a round compares, the share that must be links for another round to follow.
 WORTH = 0.1
 
@@ -45,9 +49,9 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Parity of how many hashes fall on each of 64 * SIGNATURE places."""
-    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+def signature(hashes: np.ndarray, words: int = SIGNATURE) -> np.ndarray:
+    """Parity of how many hashes fall on each of 64 * words places."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -71,13 +75,13 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``(part, n, bits, keys)``: size and signature of each distinct text's set, and its prefix in the common order."""
+    """``(part, n, bits, wide, keys)``: size and signatures of each distinct text's set (wide is null for short ones), and its prefix in the common order."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
 
-    @F.arrow_udf("struct<n:bigint,bits:array<bigint>,keys:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,bits:array<bigint>,wide:array<bigint>,keys:array<bigint>>")
     def run(batch: pa.Array) -> pa.Array:
         often, held = shared.value
-        sizes, bits, keys = [], [], []
+        sizes, bits, wide, keys = [], [], [], []
         for t in batch.cast(pa.binary()).to_pylist():
             s = shingle_set(t, shingle)
             at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
@@ -85,10 +89,24 @@ def _prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
             most = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1
             sizes.append(len(s))
             bits.append(signature(s))
+            wide.append(signature(s, WIDE) if len(s) > LONG else None)
             keys.append(s[np.lexsort((s, rank))][:most].view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["n", "bits", "keys"])
+        lists = (pa.array(x, pa.list_(pa.int64())) for x in (bits, wide, keys))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), *lists], ["n", "bits", "wide", "keys"])
+
+    return texts.select("part", run(F.col("text")).alias("p")).groupBy("part").agg(F.min("p").alias("p")).select("part", "p.n", "p.bits", "p.wide", "p.keys")
+
 
-    return texts.select("part", run(F.col("text")).alias("p")).groupBy("part").agg(F.min("p").alias("p")).select("part", "p.n", "p.bits", "p.keys")
+def _allowed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes and signatures allow the similarity."""
+    signed = sets.select("part", F.struct("n", "bits", "wide").alias("s"))
+    both = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b")
+
+    def near(bits: str) -> Column:
+        flips = F.aggregate(F.zip_with(f"sa.{bits}", f"sb.{bits}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), add)
+        return flips * (1 + least) <= (1 - least) * (F.col("sa.n") + F.col("sb.n")) + 1e-6
+
+    return both.filter(near("bits") & F.coalesce(near("wide"), F.lit(True))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -138,8 +156,10 @@ def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         pairs = led.alias("x").join(first.alias("y"), ["key", "size"]).filter((F.col("x.root") != F.col("y.root")) & able("x", "y"))
         pairs = stored(pairs.select(F.least("x.part", "y.part").alias("a"), F.greatest("x.part", "y.part").alias("b")).distinct(), "led_pairs")
         compared = pairs.count()
-        found.append(_verified(pairs, texts, shingle, least))
+        able_pairs = stored(_allowed(pairs, sets, least), "able_pairs")
+        found.append(_verified(able_pairs, texts, shingle, least))
         drop_stored(pairs)
+        drop_stored(able_pairs)
         linked = found[-1].count()
         if linked:
             left = rooted(found)
@@ -151,7 +171,9 @@ def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     near = differing("x", "y") * (1 + least) <= (1 - least) * (F.col("x.n") + F.col("y.n")) + 1e-6
     pairs = signed.alias("x").join(signed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & able("x", "y") & near)
     rest = stored(pairs.select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct(), "rest_pairs")
-    for table in (signed, sets, held):
-        drop_stored(table)
-    found.append(_verified(rest, texts, shingle, least))
+    drop_stored(signed)
+    drop_stored(held)
+    able_pairs = stored(_allowed(rest, sets, least), "able_pairs")
+    drop_stored(sets)
+    found.append(_verified(able_pairs, texts, shingle, least))
     return reduce(DataFrame.unionByName, found)
