@@ -493,3 +493,20 @@ def test_prints_do_not_depend_on_windows(monkeypatch):
     monkeypatch.setattr(simhash, "_WINDOW", 5)
     assert (simhash.simhash(text), [g for part in simhash._grams(text, 3) for g in part]) == whole
     assert simhash._grams(b"a", 3) and list(simhash._grams(b" a  b ", 3)) == [[b"a b"]] and list(simhash._grams(b"  ", 3)) == []
+
+
+def test_signatures_allow_every_similar_pair(spark):
+    """Texts of a few and of many words, changed a little and a lot; unlike pairs of both lengths are ruled out."""
+    from fernquery.llm import set_similarity as sim
+
+    texts = []
+    for size in (30, 900, 4000):
+        words = [f"w{size}x{i}" for i in range(size)]
+        texts += [" ".join(words), " ".join(words[: -size // 10]), " ".join(words[:: -1]), " ".join([*words[: size // 2], *(f"v{i}" for i in range(size // 2))])]
+    sets = sim._prefixes(spark.createDataFrame(list(enumerate(texts)), "part long, text string"), 5, 0.8)
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    kept = {tuple(r) for r in sim._allowed(spark.createDataFrame(pairs, "a long, b long"), sets, 0.8).collect()}
+    own = [set(sim.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    alike = {(a, b) for a, b in pairs if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    assert len(alike) >= 3 and alike <= kept
+    assert not {(4, 6), (8, 10)} & kept
