@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from fernquery.plans import boundary, evidence, extraction, graph, linking, retrieval, streams, trees  # noqa: F401
+    from fernquery.plans import boundary, evidence, extraction, flows, graph, linking, retrieval, streams, trees  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
