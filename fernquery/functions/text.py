@@ -144,9 +144,10 @@ def section_key(doc: Column, section: Column) -> Column:
     return F.when(F.startswith(section, F.concat(doc, F.lit("-"))), section).otherwise(F.concat(doc, F.lit("-"), section))
 
 
-def section_list(x: Column) -> Column:
-    """A JSON list, or a single text, as a list without blanks."""
-    return F.filter(F.transform(F.coalesce(F.from_json(x, "array<string>"), F.array(x)), strip), lambda s: s.isNotNull() & (s != ""))
+def section_list(x: Column, separator: str | None = None) -> Column:
+    """A JSON list, or a single text, as a list without blanks; a ``separator`` cuts a text that is no list."""
+    one = F.array(x) if separator is None else F.split(F.coalesce(x, F.lit("")), re.escape(separator))
+    return F.filter(F.transform(F.coalesce(F.from_json(x, "array<string>"), one), strip), lambda s: s.isNotNull() & (s != ""))
 
 
 def query_terms(x: Column) -> Column:
@@ -197,6 +198,13 @@ def without_page_tags(x: Column) -> Column:
     return F.regexp_replace(x, r"</?physical_index_[0-9]+>", "")
 
 
+def without_first_page(x: Column) -> Column:
+    """The text without what stands from its first page tag up to the end of the next; a text with fewer than two stays."""
+    span = F.regexp_extract(x, r"(?s)<physical_index_[0-9]+>.*?<physical_index_[0-9]+>", 0)
+    start = F.instr(x, span)
+    return F.when(span == "", x).otherwise(F.concat(x.substr(F.lit(1), start - 1), x.substr(start + F.length(span), F.length(x))))
+
+
 def page_tags(x: Column) -> Column:
     """All page numbers that a tagged text names, in order."""
     return F.transform(F.regexp_extract_all(x, F.lit(r"physical_index_([0-9]+)"), 1), lambda n: n.cast("int"))

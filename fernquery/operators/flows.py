@@ -170,3 +170,18 @@ def split_large(sections: DataFrame, parts: Callable[[DataFrame], DataFrame], *,
         if not same.isEmpty():
             raise ValueError("a part is as large as its section")
         front = found
+
+
+def laid_out(parts: dict[str, tuple[DataFrame, int]], by: str) -> DataFrame:
+    """Q2: one ``(by, context, tokens)`` per query from named ``(by, pos, text)`` rows, each part under its own budget and in order; a part without rows is not named.
+
+    Blank texts are left out and count nothing. Of rows of equal ``pos`` the smaller text comes first.
+    """
+    kept = None
+    for n, (name, (rows, budget)) in enumerate(parts.items()):
+        said = rows.filter(strip(F.coalesce("text", F.lit(""))) != "").select(by, F.col("pos").cast("long").alias("pos"), "text").withColumn("_t", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), 0)))
+        cut = budget_prefix(said, "_t", budget, ["pos", "text"], [by]).select(by, F.lit(n).alias("part"), F.lit(name).alias("name"), "pos", "text", "_t")
+        kept = cut if kept is None else kept.unionByName(cut)
+    sheets = kept.groupBy(by, "part", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("_body"), F.sum("_t").alias("_t"))
+    sheet = F.struct("part", F.concat(F.lit("# "), "name", F.lit("\n"), "_body").alias("s"))
+    return sheets.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(sheet)), lambda x: x["s"]), "\n\n").alias("context"), F.sum("_t").alias("tokens"))

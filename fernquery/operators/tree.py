@@ -150,3 +150,36 @@ def reshaped(content, remove: tuple[str, ...] = (), order: tuple[str, ...] = ())
         return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
 
     return run(content)
+
+
+def nested(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, content)``: each document's sections as one JSON object again, children under ``nodes``, in the order of their paths.
+
+    ``sections(id, path_array, node_id, title, summary, text)``; blank summaries and texts
+    are left out. A section whose parent is missing stands below the nearest one above it.
+    A pass over one document's sections in order, whose open ancestors are held.
+    """
+
+    def run(batches):
+        current, first, roots, open_ = None, True, [], []
+
+        def whole():
+            return pa.RecordBatch.from_arrays([pa.array([current], kind), pa.array([json.dumps({"structure": roots}, ensure_ascii=False)], pa.string())], names=["id", "content"])
+
+        kind = pa.string()
+        for b in batches:
+            for doc, path, node, title, summary, text in zip(*(b[i].to_pylist() for i in range(6))):
+                if first or doc != current:
+                    if not first:
+                        yield whole()
+                    current, first, roots, open_ = doc, False, [], []
+                section = {"title": title, "node_id": node} | {k: v for k, v in (("summary", summary), ("text", text)) if v}
+                while open_ and path[: len(open_[-1][0])] != open_[-1][0]:
+                    open_.pop()
+                (open_[-1][1].setdefault("nodes", []) if open_ else roots).append(section)
+                open_.append((path, section))
+        if not first:
+            yield whole()
+
+    rows = sections.select(F.col(id_col).cast("string").alias("id"), "path_array", "node_id", "title", "summary", "text")
+    return rows.repartition("id").sortWithinPartitions("id", "path_array").mapInArrow(run, "id string, content string").withColumnRenamed("id", id_col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,12 @@ def rollup(calls: DataFrame) -> DataFrame:
     out = rows.groupingSets([[F.col(x) for x in s] for s in sets], "stage", "model", "source").agg(F.sum("p").cast("long").alias("prompt_tokens"), F.sum("c").cast("long").alias("completion_tokens"), F.sum("t").cast("long").alias("total_tokens"), F.count(F.lit(1)).alias("calls"), F.grouping_id().alias("g"))
     grain = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, "stage").when(F.col("g") == 1, "model").otherwise("source")
     return out.withColumn("grain", grain).drop("g")
+
+
+def report(rolled: DataFrame) -> DataFrame:
+    """A roll-up as ``(place, line)``: the total first, then a line per stage in order of name; without usage a line that says so."""
+    told = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("calls", "prompt_tokens", "completion_tokens", "total_tokens")])
+    lines = rolled.filter("grain = 'all' and calls > 0").select(F.lit(0).alias("part"), F.lit("").alias("stage"), F.concat(F.lit("Total: "), told).alias("line"))
+    lines = lines.unionByName(rolled.filter("grain = 'stage'").select(F.lit(1).alias("part"), "stage", F.concat(F.lit("["), F.coalesce("stage", F.lit("")), F.lit("] "), told).alias("line")))
+    none = rolled.agg(F.coalesce(F.max("calls"), F.lit(0)).alias("n")).filter("n = 0").select(F.lit(2).alias("part"), F.lit("").alias("stage"), F.lit("No usage.").alias("line"))
+    return lines.unionByName(none).select(F.row_number().over(Window.orderBy("part", "stage")).alias("place"), "line")  # stages are few

@@ -6,10 +6,14 @@ import json
 
 from pyspark.sql import functions as F
 
-from fernquery.operators import chunk, evidence, flows, graph
+from fernquery.operators import chunk, evidence, extract, flows, graph, tree, usage
+from fernquery.plans.evidence import _CHUNK_HITS, _selected
 from fernquery.plans.graph import _GRAPH, build, facts
 from fernquery.plans.registry import query
 from fernquery.plans.retrieval import _CHUNKS
+from fernquery.plans.trees import _TREE, documents
+from fernquery.sources import stores
+from fernquery.sources.scratch import fresh_path
 from fernquery.sources.tables import table
 
 
@@ -201,3 +205,85 @@ def split_sections(spark, sf):
         return large.select("doc_id", "path", F.explode(both).alias("h")).select("doc_id", F.concat("path", "h.p").alias("path"), F.col("h.a").alias("first"), F.col("h.z").alias("last"), ((F.col("h.z") - F.col("h.a") + 1) * 10).alias("tokens"))
 
     return flows.split_large(s, halves, pages=3, tokens=10).select("doc_id", "path", "first", "last")
+
+
+@query(
+    "dual_query",
+    rf"""WITH {_CHUNK_HITS}, n AS (SELECT n_nationkey, n_regionkey, n_name, r_name, lead(n_name) OVER (ORDER BY n_nationkey) AS following, lead(n_regionkey) OVER (ORDER BY n_nationkey) AS fr FROM nation JOIN region ON r_regionkey = n_regionkey),
+    p AS (SELECT DISTINCT n_regionkey AS query_id, concat(least(step, r_name), ' -- ', greatest(step, r_name)) AS text FROM (SELECT n_regionkey, n_name AS step, r_name FROM n WHERE fr = n_regionkey UNION ALL SELECT n_regionkey, following, r_name FROM n WHERE fr = n_regionkey)),
+    rows AS (
+      SELECT 0 AS part, 'entities' AS name, query_id, CAST(pos AS BIGINT) AS pos, concat(node_id, ' ', array_to_string(descriptions, '; ')) AS text, 60 AS budget FROM sel
+      UNION ALL SELECT 1, 'paths', query_id, 0, text, 1000 FROM p
+      UNION ALL SELECT 2, 'chunks', query_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, first, source_id), c_name, 40 FROM h JOIN customer ON concat('chunk-c', CAST(c_custkey AS VARCHAR)) = source_id
+      UNION ALL SELECT 3, 'sections', n_regionkey, n_nationkey, n_name, 1000 FROM nation WHERE n_nationkey % 4 <> 0),
+    t AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS tk, sum(len(regexp_extract_all(text, '\S+'))) OVER (PARTITION BY part, query_id ORDER BY pos, text ROWS UNBOUNDED PRECEDING) AS running FROM rows),
+    s AS (SELECT query_id, part, concat('# ', name, chr(10), string_agg(text, chr(10) ORDER BY pos, text)) AS sheet, sum(tk) AS tk FROM t WHERE running <= budget GROUP BY query_id, part, name),
+    c AS (SELECT query_id, string_agg(sheet, chr(10) || chr(10) ORDER BY part) AS context, CAST(sum(tk) AS BIGINT) AS tokens FROM s GROUP BY query_id)
+    SELECT query_id, tokens, md5(context) AS context_md5, concat(len(regexp_extract_all(context, '\S+')), ' words') AS answer FROM c""",
+)
+def dual_query(spark, sf):
+    """Q2: per region, its nations' nodes, the paths between those that follow each other, chunks as often as they are named, and sections, each within its budget, and the answer."""
+    sel = _selected(spark, sf)
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    edges = n.select(F.col("n_name").alias("src_node_id"), F.col("r_name").alias("dst_node_id"))
+    heads = n.select("n_nationkey", F.col("n_regionkey").alias("query_id"), F.col("n_name").alias("head"))
+    pairs = heads.join(n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("tail")), "n_nationkey")
+    steps = flows.path_relations(graph.shortest_paths(edges, pairs).join(pairs, ["head", "tail"]), ["query_id"])
+    chunks = table(spark, sf, "customer").select(F.concat(F.lit("chunk-c"), F.col("c_custkey").cast("string")).alias("source_id"), F.col("c_name").alias("text"))
+    hits = evidence.count_sources(sel, "source_ids", ["query_id"])
+    hits = hits.join(chunks, "source_id").withColumn("pos", F.col("place"))
+    parts = {
+        "entities": (sel.withColumn("text", F.concat("node_id", F.lit(" "), F.array_join("descriptions", "; "))), 60),
+        "paths": (steps.select("query_id", F.lit(0).alias("pos"), F.concat_ws(" -- ", "src_node_id", "dst_node_id").alias("text")).distinct(), 1000),
+        "chunks": (hits, 40),
+        "sections": (n.filter("n_nationkey % 4 <> 0").select(F.col("n_regionkey").alias("query_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("text")), 1000),
+    }
+    contexts = flows.laid_out(parts, "query_id").withColumn("k", F.col("query_id").cast("string"))
+    said = extract.complete_all(contexts, _count, key_col="k", prompt_col="context").select("k", F.col("response").alias("answer"))
+    return contexts.join(said, "k").select("query_id", "tokens", F.md5("context").alias("context_md5"), "answer")
+
+
+@query("tree_nested", f"WITH {_TREE} SELECT CAST(doc_id AS VARCHAR) AS doc_id, path, CAST(depth AS INTEGER) AS depth, node_id, title, summary, text FROM s")
+def tree_nested(spark, sf):
+    """Trees flattened, put together as JSON, and flattened again."""
+    again = tree.flatten(tree.nested(tree.flatten(documents(spark, sf))))
+    return again.select("doc_id", "path", "depth", "node_id", "title", "summary", "text")
+
+
+@query(
+    "usage_report",
+    """WITH c AS (SELECT o_orderpriority AS stage, count(*) AS n, sum(o_custkey % 3 + 10) AS p, sum(o_custkey % 7) AS q FROM orders GROUP BY 1),
+    l AS (SELECT 1 AS part, stage, concat('[', stage, '] calls=', n, ', prompt_tokens=', p, ', completion_tokens=', q, ', total_tokens=', p + q) AS line FROM c
+      UNION ALL SELECT 0, '', concat('Total: calls=', sum(n), ', prompt_tokens=', sum(p), ', completion_tokens=', sum(q), ', total_tokens=', sum(p + q)) FROM c)
+    SELECT CAST(row_number() OVER (ORDER BY part, stage) AS INTEGER) AS place, line FROM l""",
+)
+def usage_report(spark, sf):
+    """Orders as model calls."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("stage"), F.lit("m").alias("model"), F.lit("api").alias("source"), (F.col("o_custkey") % 3 + 10).alias("prompt_tokens"), (F.col("o_custkey") % 7).alias("completion_tokens"), F.lit(None).cast("long").alias("total_tokens"))
+    return usage.report(usage.rollup(o))
+
+
+@query(
+    "page_span",
+    """SELECT conv_id AS doc, md5(coalesce(string_agg(concat('<start_index_', turn, '>', chr(10), coalesce(text, ''), chr(10), '<end_index_', turn, '>', chr(10)), '' ORDER BY turn) FILTER (turn BETWEEN 1 AND 3), '')) AS text_md5, count(*) AS n_pages FROM conversations GROUP BY 1""",
+)
+def page_span(spark, sf):
+    """Turns 1 to 3 of every conversation as tagged pages."""
+    pages = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text")
+    return stores.page_span_text(pages, 1, 3, tagged=True).select("doc", F.md5("text").alias("text_md5"), "n_pages")
+
+
+@query(
+    "level_exports",
+    f"""WITH {_GRAPH} SELECT concat(CASE WHEN level >= 1 THEN 'structural' ELSE 'content' END, '_graph_', what) AS name, count(*) AS n, count(DISTINCT id) AS n_ids FROM
+    (SELECT level, 'entities' AS what, node_id AS id FROM nodes UNION ALL SELECT level, 'relations', concat(src_node_id, '~', dst_node_id) FROM edges) GROUP BY 1""",
+)
+def level_exports(spark, sf):
+    """K8: both levels' entities and relations written as JSON and read again."""
+    nodes, edges = build(spark, sf)
+    out = None
+    for name, path in stores.export_levels(nodes, edges, fresh_path(spark, "levels")).items():
+        id_ = F.col("node_id") if name.endswith("entities") else F.concat_ws("~", "src_node_id", "dst_node_id")
+        rows = spark.read.schema("node_id string, src_node_id string, dst_node_id string").json(path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_).alias("n_ids")).select(F.lit(name).alias("name"), "n", "n_ids")
+        out = rows if out is None else out.unionByName(rows)
+    return out.filter("n > 0")
