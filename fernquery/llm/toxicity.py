@@ -92,11 +92,15 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     known = np.flatnonzero(held >= MIN_TEXTS)
     place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
-    sets = [s[s >= 0] for s in (place[s] for s in sets)]
+    for i, s in enumerate(sets):  # one text at a time, so that no two copies of all sets are held
+        sets[i] = place[s][held[s] >= MIN_TEXTS]
     r, lengths = ratio[known], np.array([len(s) for s in sets])
-    flat, ends = (np.concatenate(sets) if len(known) else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(lengths)])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.empty(ends[-1], np.int32)
+    for i, s in enumerate(sets):
+        flat[ends[i] : ends[i + 1]], sets[i] = s, None
     share = np.where(labels > 0, len(labels) / (2 * positive), len(labels) / (2 * (len(labels) - positive)))  # both classes weigh the same
-    blocks = [(a, min(a + 256, len(sets))) for a in range(0, len(sets), 256)]
+    blocks = [(a, min(a + 256, len(labels))) for a in range(0, len(labels), 256)]
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = x[:-1] * r, x[-1]
