@@ -121,11 +121,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return out
 
 
-def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def similar_links(texts: DataFrame, shingle: int, least: float, known: DataFrame | None = None) -> DataFrame:
     """Links ``(a, b)`` between texts of ``texts(part, text)`` that join the same components as all pairs with a similarity of ``least`` would.
 
     ``part`` identifies a text; rows may repeat. A null or empty text, or one of fewer words than a shingle
-    has, is one shingle. ``least`` is above 0.
+    has, is one shingle. ``least`` is above 0. With ``known(a, b)``, links found before, only links between components
+    that these leave apart are looked for and returned.
     """
     sets = stored(_prefixes(texts, shingle, least), "prefixes")
     posted = sets.select("part", "n", F.posexplode("keys").alias("pos", "key"))
@@ -147,7 +148,8 @@ def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         few = F.broadcast(roots) if roots.count() <= MAX_COMPARED else roots
         return held.join(few, "part", "left").withColumn("root", F.coalesce("root", "part"))
 
-    found, left, k = [], held.withColumn("root", F.col("part")), 0
+    known = [] if known is None else [known]
+    found, left, k = [], rooted(known) if known else held.withColumn("root", F.col("part")), 0
     while True:
         size = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(min(least, 0.99))) + 0.5 * (k % 2))
         led = left.withColumn("size", size)
@@ -162,7 +164,7 @@ def similar_links(texts: DataFrame, shingle: int, least: float) -> DataFrame:
         drop_stored(able_pairs)
         linked = found[-1].count()
         if linked:
-            left = rooted(found)
+            left = rooted(known + found)
         if linked <= WORTH * compared:
             break
         k += 1

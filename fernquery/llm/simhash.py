@@ -142,7 +142,7 @@ def _similar(pairs: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str,
     return both.filter(F.col("n") >= least * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int | None = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int | None = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5, farther: bool = False) -> DataFrame:
     """One row per document: ``(id, fingerprint, component_id)``.
 
     Texts are compared whole, A-Z lower-cased, by the SimHash of their
@@ -152,10 +152,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null and empty texts have fingerprint 0 and are linked by it like any other.
     Repeated rows stay repeated. A null id never becomes a component_id unless the
     component has no other. With ``similarity``, links between different fingerprints
-    also need that Jaccard similarity over ``check_words``-word shingles. Without ``max_bits``
-    (None), texts with that similarity are linked however far their fingerprints are apart. Columns besides the two named are not looked at.
+    also need that Jaccard similarity over ``check_words``-word shingles. With ``farther``, texts with
+    that similarity are linked too where their fingerprints are further apart: the index links first, and
+    a join over all texts finds what it leaves apart. Without ``max_bits`` (None), that join finds all.
+    Columns besides the two named are not looked at.
     """
-    found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words)
+    found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words, farther)
     return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -179,20 +181,35 @@ def _links(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_b
     return led.unionByName(checked(near_pairs(apart, max_bits, segments)))
 
 
-def _similar_prints(prints: DataFrame, docs: DataFrame, text_col: str, similarity: float, check_words: int) -> DataFrame:
-    """Links between the fingerprints of all texts that are similar, not of representatives alone."""
+def _led_and_similar(prints: DataFrame, groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_bits: int, segments: int, similarity: float, check_words: int) -> DataFrame:
+    """Links that join the same components as all similar texts would: first those of the index, then the rest.
+
+    Fingerprints are linked to the leaders of their table entries, where the texts are as similar as
+    they must be; there are no more such pairs than probes. Pairs that are still apart, within ``max_bits`` bits or not,
+    are the join's, so none needs to be enumerated here by the square of a group.
+    """
+    led = stored(_similar(near_pairs(groups.select("fp"), max_bits, segments, leaders=True), groups, docs, id_col, text_col, check_words, similarity), "led")
+    part = groups.select("fp", "low_part")
+    known = stored(led.join(part.toDF("a", "part_a"), "a").join(part.toDF("b", "part_b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")), "known_links")
+    return led.union(_similar_prints(prints, docs, text_col, similarity, check_words, known))
+
+
+def _similar_prints(prints: DataFrame, docs: DataFrame, text_col: str, similarity: float, check_words: int, known: DataFrame | None = None) -> DataFrame:
+    """Links between the fingerprints of all texts that are similar, not of representatives alone; without those that ``known(a, b)`` links of texts join."""
     texts = docs.select(F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("part"), F.col(text_col).alias("text"))
     own = prints.select("part", "fp").distinct()
-    links = similar_links(texts, check_words, similarity).join(own.toDF("a", "fp_a"), "a").join(own.toDF("b", "fp_b"), "b")
+    links = similar_links(texts, check_words, similarity, known).join(own.toDF("a", "fp_a"), "a").join(own.toDF("b", "fp_b"), "b")
     return links.filter("fp_a <> fp_b").select("fp_a", "fp_b")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int | None, segments: int, similarity: float | None, check_words: int) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int | None, segments: int, similarity: float | None, check_words: int, farther: bool) -> DataFrame:
     """``(_id, part, fp, root, component_id)`` of every row; part tells apart texts that share an id."""
     prints = stored(docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.col(text_col).isNull()).alias("part"), fingerprint(F.col(text_col), shingle).alias("fp")), "prints")
     groups = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("low"), F.coalesce(F.min_by("part", "_id"), F.min("part")).alias("low_part")), "print_groups")
     if max_bits is None:
         links = _similar_prints(prints, docs, text_col, similarity, check_words)
+    elif farther:
+        links = _led_and_similar(prints, groups, docs, id_col, text_col, max_bits, segments, similarity, check_words)
     else:
         links = _links(groups, docs, id_col, text_col, max_bits, segments, similarity, check_words)
     roots = components(links.toDF("u", "v"))
@@ -202,14 +219,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     return joined(prints, stored(found, "component_ids"), "fp", rooted.select("fp", "n"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int | None = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int | None = 2, segments: int = 2, similarity: float | None = None, check_words: int = 5, farther: bool = False) -> DataFrame:
     """The documents with one of each near-duplicate component kept, whole rows; parameters as in ``near_duplicates``.
 
     The row with the component's smallest id stays (null is larger than any), of texts that share
     that id the one with the smallest hash; of rows that repeat its id and text, the one whose
     columns come first as JSON text.
     """
-    found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words).select("root", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "part").alias("row"))
+    found = _classes(docs, id_col, text_col, shingle, max_bits, segments, similarity, check_words, farther).select("root", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "part").alias("row"))
     found = stored(found, "classes")
     first = found.groupBy("root").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     several = joined(found, first.select("root", "first"), "root", first.select("root", "n"))

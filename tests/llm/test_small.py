@@ -250,6 +250,59 @@ def test_similar_texts_are_linked_however_far_their_prints(spark):
     assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
 
 
+def test_near_duplicates_stage_looks_fingerprints_up_first(spark, monkeypatch):
+    """The stage links through the multi-index what is within its bits; the join of shingle sets is left with the rest, and nothing is lost."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    texts = []
+    for g in range(10):
+        base = [f"g{g}w{i}" for i in range(int(rng.integers(60, 300)))]
+        for k in range(6):
+            own = list(base)
+            for at in rng.choice(len(base), int(rng.integers(0, 1 + len(base) // 40)), replace=False):
+                own[at] = f"new{k}x{at}"
+            texts.append(" ".join(own + [f"tail{g}x{k}x{i}" for i in range(int(rng.integers(0, len(base) // 20)))]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    prints, root = [_print(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    close, far = set(), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            similar = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if similar and bin(prints[a] ^ prints[b]).count("1") <= 7:
+                close.add(frozenset((prints[a], prints[b])))
+            elif similar:
+                far += 1
+            if prints[a] == prints[b] or similar:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    looked, joined = [], []
+    near, similar_links = simhash.near_pairs, simhash.similar_links
+
+    def looking(*args, **options):
+        looked.append(near(*args, **options))
+        return looked[-1]
+
+    def joining(texts, shingle, least, known=None):
+        joined.append(known)
+        return similar_links(texts, shingle, least, known)
+
+    monkeypatch.setattr(simhash, "near_pairs", looking)
+    monkeypatch.setattr(simhash, "similar_links", joining)
+    frame = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates_stage(spark, frame, "").collect()}
+    assert close and far
+    assert kept == {find(i) for i in range(len(texts))}
+    assert looked and looked[0].count() > 0
+    assert [known is not None and known.count() > 0 for known in joined] == [True]
+    pairs = {frozenset(p % (1 << 64) for p in (r["a"], r["b"])) for r in looked[0].collect()}
+    assert all(bin(x ^ y).count("1") <= 7 for x, y in pairs) and pairs & close
+
+
 @pytest.mark.parametrize("bits,segments", [(2, 2), (7, 4), (5, 3)])
 def test_near_pairs_equal_brute_force(spark, bits, segments):
     rng = np.random.default_rng(3)
